@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Character classes that agree with the usual Unicode meaning of "word character",
@@ -12,9 +14,12 @@ UPPER = r"\p{IsUppercase}"
 SINGLE_LETTER_WORDS = ("a", "i")
 
 
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(f"[{SPACES}]", chr(c)))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -24,18 +29,20 @@ def collapse_whitespace(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """White-space tokens, without empty strings."""
-    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
 def remove_unprintable(text: Column) -> Column:
     """H-1: delete U+0080 to U+FFFF."""
-    return F.regexp_replace(text, r"[\u0080-\uffff]", "")
+    return F.regexp_replace(text, r"[\u0080-\uffff]+", "")
 
 
 def remove_remains(text: Column) -> Column:
     """H-5: delete punctuation that touches no word, then squeeze spaces."""
-    loose = F.regexp_replace(text, rf"(?<!{WORD})[^\p{{L}}\p{{N}}_{SPACES}]+(?!{WORD})", "")
-    return strip(F.regexp_replace(loose, " +", " "))
+    mark = rf"[^\p{{L}}\p{{N}}_{SPACES}]"
+    # the look-behind follows the first mark, so that letters and spaces are passed over quickly
+    loose = F.regexp_replace(text, rf"(?s){mark}(?<!{WORD}.){mark}*(?!{WORD})", "")
+    return strip(F.regexp_replace(loose, "  +", " "))
 
 
 def clean_words(text: Column, keep_caps: bool = False, remove_non_alpha: bool = False) -> Column:
@@ -44,26 +51,26 @@ def clean_words(text: Column, keep_caps: bool = False, remove_non_alpha: bool =
     start, end = f"(?<!{WORD})", f"(?!{WORD})"
     if remove_non_alpha:
         out = F.regexp_replace(out, rf"{start}\p{{L}}*+[\p{{N}}_]{WORD}*", "")
-    singles = "".join(SINGLE_LETTER_WORDS + tuple(w.upper() for w in SINGLE_LETTER_WORDS))
-    out = F.regexp_replace(out, rf"{start}(?![{singles}]{end}){WORD}{end}", "")
-    out = F.regexp_replace(out, rf"(?i){start}([a-z])\1+{end}", "")
-    return F.regexp_replace(out, rf"(?i){start}{WORD}*?([a-z])\1\1{WORD}*", "")
+    singles = "".join(SINGLE_LETTER_WORDS)
+    single = rf"(?![{singles}]{end}){WORD}"
+    return F.regexp_replace(
+        out, rf"(?i){start}(?:{single}|([a-z])\1+|{WORD}*?([a-z])\2\2{WORD}*){end}", ""
+    )
 
 
 def survives_cleaning(token: Column, remove_non_alpha: bool = False) -> Column:
     """Whether H-4 would keep a white-space token when it is tested as a whole."""
-    low = F.lower(token)
-    keep = (
-        ((F.length(low) >= 2) | low.isin(*SINGLE_LETTER_WORDS))
-        & ~low.rlike(rf"(?<!{WORD})([a-z])\1+(?!{WORD})")
-        & ~low.rlike(r"([a-z])\1\1")
+    singles = "".join(SINGLE_LETTER_WORDS)
+    keep = ((F.length(token) >= 2) | token.rlike(f"(?i)^[{singles}]$")) & ~token.rlike(
+        rf"(?i)([a-z])\1(?:\1|(?<!{WORD}..)(?!{WORD}))"
     )
-    return keep & low.rlike(r"^\p{L}+$") if remove_non_alpha else keep
+    return keep & token.rlike(r"^\p{L}+$") if remove_non_alpha else keep
 
 
 def split_and_clean(text: Column, remove_non_alpha: bool = False) -> Column:
     """H-10: white-space tokens that survive H-4."""
-    return F.filter(split_words(text), lambda w: survives_cleaning(w, remove_non_alpha))
+    tokens = F.split(text, f"[{SPACES}]+")
+    return F.filter(tokens, lambda w: survives_cleaning(w, remove_non_alpha))
 
 
 def count_upper(text: Column) -> Column:
