@@ -118,12 +118,16 @@ class Tfidf:
         for name in ("norm", "stop_words"):
             if getattr(self, name) == "None":
                 object.__setattr__(self, name, None)
+        if isinstance(self.stop_words, str) and self.stop_words.startswith("words:"):
+            object.__setattr__(self, "stop_words", tuple(self.stop_words[6:].split(",")))
         if self.norm not in ("l1", "l2", None):
             raise ValueError(f"unknown norm {self.norm!r}")
 
     def settings(self) -> dict:
         out = asdict(self)
         out["norm"], out["stop_words"] = str(self.norm), str(self.stop_words)
+        if isinstance(self.stop_words, tuple):
+            out["stop_words"] = "words:" + ",".join(self.stop_words)
         return out
 
     def variant(self) -> tuple:
