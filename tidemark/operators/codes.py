@@ -23,6 +23,7 @@ from tidemark.operators.blocks import ROWS, with_block
 from tidemark.operators.ranking import with_position
 from tidemark.operators.scores import as_exponents, power_mean
 from tidemark.operators.skew import skew_join
+from tidemark.session import cut_lineage
 
 
 def codes_with_year(codes: DataFrame, years: DataFrame) -> DataFrame:
@@ -280,7 +281,8 @@ def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[fl
             )
         if float(p) in exponents:
             expanded.append(terms.select(*base, key_text, "w", F.lit(float(p)).alias("exponent")))
-    focal = (
+    # read three times: for the sets that are needed, for hot sets, and for the scores
+    focal = cut_lineage(
         reduce(DataFrame.unionByName, expanded)
         .groupBy(*base, "key", "exponent")
         .agg(F.sum("w").alias("w"))

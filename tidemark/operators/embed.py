@@ -19,6 +19,7 @@ from tidemark.functions.vectors import inverse_weight, logistic_weight, rare_tok
 from tidemark.operators import blocks as B
 from tidemark.operators.skew import skew_join
 from tidemark.operators.windows import window_years
+from tidemark.session import cut_lineage
 
 
 def window_sizes(members: DataFrame) -> DataFrame:
@@ -195,7 +196,8 @@ def tfidf(
     parts = []
     for variant, named in variants.items():
         longest = max(m.ngram_max for _, m in named)
-        counts = term_counts(variant_tokens(corpus.docs, variant, stems), longest)
+        # tokenising is the costly part, and its counts are read for frequencies and for weights
+        counts = cut_lineage(term_counts(variant_tokens(corpus.docs, variant, stems), longest))
         parts.append(weigh_tfidf(corpus, counts, named))
     out = parts[0]
     for part in parts[1:]:
@@ -274,7 +276,7 @@ class WeightedCounts:
 
     def transform(self, corpus: Corpus, name: str) -> DataFrame:
         tokens = corpus.docs.select("patent", "year", T.split_words(F.col("contents")).alias("tokens"))
-        counts = term_counts(tokens, 1).drop("order")
+        counts = cut_lineage(term_counts(tokens, 1).drop("order"))
         stats = corpus.term_stats(counts, [], {"total": F.sum("tf"), "n": F.count(F.lit(1))})
         largest = stats.groupBy("window").agg(F.max("total").alias("max_total"))
         if self.method == "prop":
@@ -323,7 +325,7 @@ class TokenVectorMean:
         if self.token_vectors is None:
             raise ValueError("a token_vectors(token, vector) table is needed")
         tokens = corpus.docs.select("patent", "year", self.tokenizer(F.col("contents")).alias("tokens"))
-        counts = term_counts(tokens, 1).drop("order")
+        counts = cut_lineage(term_counts(tokens, 1).drop("order"))
         return self.weigh(corpus, counts, name)
 
     def weigh(self, corpus: Corpus, counts: DataFrame, name: str) -> DataFrame:

@@ -19,6 +19,7 @@ from tidemark.functions.vectors import l2_normalise, smoothed_ratio, unit_simila
 from tidemark.operators import blocks as B
 from tidemark.operators.skew import skew_join
 from tidemark.operators.windows import focal_years, frames, window_positions
+from tidemark.session import cut_lineage
 
 MOMENT_BUDGET = 400_000  # doubles per group, 3.2 MB
 SIMILARITIES = "patent long, exponent double, back double, forward double"
@@ -246,8 +247,8 @@ def novelty_impact_sparse(
     exponents = as_exponents(exponents)
     frame = frames(focal_years(window_docs, reach))
     members = window_docs.join(frame, ["window", "year"])
-    units = unit_terms(embeddings.select("model", "window", "patent", "term", "w"))
-    models = embeddings.select("model", "window").distinct()
+    units = cut_lineage(unit_terms(embeddings.select("model", "window", "patent", "term", "w")))
+    models = units.select("model", "window").distinct()
     parts = []
     first = [p for p in exponents if p == 1.0 and method != "blocks"]
     rest = [p for p in exponents if p not in first]

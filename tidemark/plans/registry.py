@@ -1,6 +1,13 @@
 """All queries; importing the query modules registers them."""
 
-from tidemark.plans import code_queries, score_queries, text_queries, vector_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    code_queries,
+    file_queries,
+    grading_queries,
+    score_queries,
+    text_queries,
+    vector_queries,
+)
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -199,7 +199,7 @@ def doc2vec(spark, sf):
     """E-4: trained vectors."""
     from tidemark.operators.windows import WindowSpec
 
-    windows = WindowSpec(1900, 1926, 26, 26).frame(spark).unionByName(WindowSpec(1888, 1940, 26, 26).frame(spark)).distinct()
+    windows = WindowSpec(1900, 1946, 36, 36).frame(spark)  # two windows that hold all documents
     rows = E.Corpus.of(v.docs(spark, sf), windows)
     return E.TrainedVectors(vector_size=16, epoch=1).transform(rows, "doc2vec")
 

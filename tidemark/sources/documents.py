@@ -146,9 +146,11 @@ def normal_year(docs: DataFrame) -> DataFrame:
     return docs.withColumn("year", F.nullif("year", F.lit(0)))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.DOCUMENTS) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path: str, schema: str = schemas.DOCUMENTS, pattern: str = "*.jsonl"
+) -> DataFrame:
     """A-3: one JSON object per line."""
-    return spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(path)
+    return spark.read.schema(schema).option("pathGlobFilter", pattern).json(path)
 
 
 def json_items(stream: io.TextIOBase, size: int = 1 << 20) -> Iterator[str]:
@@ -175,8 +177,13 @@ def json_items(stream: io.TextIOBase, size: int = 1 << 20) -> Iterator[str]:
 
 
 def read_year_xz(spark: SparkSession, path: str, schema: str = schemas.DOCUMENTS) -> DataFrame:
-    """A-2: LZMA files that hold one JSON array each. A file is decompressed as a stream."""
+    """A-2: LZMA files that hold one JSON array each."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(path)
+    return decode_year_files(files, schema)
+
+
+def decode_year_files(files: DataFrame, schema: str = schemas.DOCUMENTS) -> DataFrame:
+    """Documents of the compressed arrays in ``content``; each is decompressed as a stream."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
