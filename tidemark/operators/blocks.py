@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS = 1024
-CHUNK = 4096
+CHUNK = 16384
 SALTS = 32
 
 
@@ -165,13 +165,31 @@ def group_moments(blocks: DataFrame, keys: list[str], order: int) -> DataFrame:
 
 
 def sum_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sum of the equally long arrays ``vals`` of each group."""
+    """Element-wise sum of the equally long arrays ``vals`` of each group.
 
-    @F.pandas_udf("array<double>")
-    def vector_sum(vals: pd.Series) -> list:
-        return np.sum(np.stack(list(vals)), axis=0)
+    Rows arrive sorted by group and are added up as they come, so a task holds one running sum.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"{k} {fields[k]}" for k in keys] + ["vals array<double>"])
 
-    return df.groupBy(*keys).agg(vector_sum("vals").alias("vals"))
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, total = None, None
+        for batch in batches:
+            done = []
+            for key, vals in zip(batch[keys].itertuples(index=False, name=None), batch["vals"]):
+                if key == current:
+                    total += vals
+                else:
+                    if current is not None:
+                        done.append((*current, total))
+                    current, total = key, np.array(vals, dtype=float)
+            if done:
+                yield pd.DataFrame(done, columns=[*keys, "vals"])
+        if current is not None:
+            yield pd.DataFrame([(*current, total)], columns=[*keys, "vals"])
+
+    ordered = df.select(*keys, "vals").repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInPandas(kernel, schema)
 
 
 def join_chunks(chunk: Column, vals: Column) -> Column:

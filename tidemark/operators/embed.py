@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.vectors import inverse_weight, logistic_weight, rare_token_weight
@@ -22,6 +22,24 @@ from tidemark.operators.windows import window_years
 from tidemark.session import cut_lineage
 
 
+def largest_window(members: DataFrame) -> int:
+    """Documents in the largest window: no term has more rows than that in any window."""
+    return window_sizes(members).agg(F.max("n_docs")).first()[0] or 0
+
+
+def unit_rows(rows: DataFrame, keys: list[str], norm: str) -> DataFrame:
+    """Divide ``w`` by the document's norm; a zero norm leaves it as it is.
+
+    The window is one document's terms, so its rows never exceed the vocabulary of a document.
+    """
+    doc = Window.partitionBy(*keys)
+    if norm == "l1":
+        length = F.sum(F.abs("w")).over(doc)
+    else:
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
+    return rows.withColumn("w", F.col("w") / F.coalesce(F.nullif(length, F.lit(0.0)), F.lit(1.0)))
+
+
 def window_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("window").agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -58,11 +76,29 @@ class Corpus:
             *keys, "window", "term"
         ).agg(*[c.alias(name) for name, c in aggregates.items()])
 
-    def in_windows(self, rows: DataFrame) -> DataFrame:
-        """Copy per-document rows to the windows of the document."""
-        if self.by_year:
-            return rows.join(window_years(self.windows), "year")
-        return rows.drop("year").join(self.members, "patent")
+    def lookup(
+        self, counts: DataFrame, weights: DataFrame, keys: list[str], n: str, values: list[str]
+    ) -> DataFrame:
+        """Per-document ``counts`` joined to ``weights(window, keys, n, values)``, one row per window.
+
+        By year, the weights of a term in all windows of a year travel as one array, so that the
+        counts are shuffled once and not once per window; they are then gathered by document before
+        they are copied, which also serves the norms. ``n`` counts the rows of a key.
+        """
+        most = largest_window(self.members)
+        if not self.by_year:
+            placed = counts.drop("year").join(self.members, "patent")
+            sizes = weights.select("window", *keys, F.col(n).alias("n"))
+            return skew_join(placed, weights.drop(n), ["window", *keys], counts=sizes, most=most)
+        entry = F.struct("window", *values)
+        yearly = (
+            weights.join(window_years(self.windows), "window")
+            .groupBy("year", *keys)
+            .agg(F.max(n).alias("n"), F.collect_list(entry).alias("_w"))
+        )
+        on = ["year", *keys]
+        joined = skew_join(counts, yearly.drop("n"), on, counts=yearly.select(*on, "n"), most=most)
+        return joined.repartition("patent").select(*counts.columns, F.inline("_w"))
 
 
 # --- TF-IDF --------------------------------------------------------------------------------------
@@ -233,25 +269,31 @@ def weigh_tfidf(corpus: Corpus, counts: DataFrame, named: list[tuple[str, Tfidf]
         F.struct("model", "norm", "sublinear", idf.alias("idf")).alias("s"),
     )
     # one row per (window, term): the settings that keep the term travel as an array
-    kept = kept.groupBy("window", "order", "term").agg(
-        F.first("df").alias("n"), F.collect_list("s").alias("s")
+    if len(named) == 1:
+        kept = kept.select("window", "order", "term", F.col("df").alias("n"), F.array("s").alias("s"))
+    else:
+        kept = kept.groupBy("window", "order", "term").agg(
+            F.first("df").alias("n"), F.collect_list("s").alias("s")
+        )
+    joined = corpus.lookup(counts, kept, ["order", "term"], "n", ["s"]).select(
+        "window", "patent", "year", "term", "tf", F.inline("s")
     )
-    keys = ["window", "order", "term"]
-    joined = skew_join(
-        corpus.in_windows(counts), kept.drop("n"), keys, counts=kept.select(*keys, "n")
-    ).select("window", "patent", "year", "term", "tf", F.inline("s"))
     tf = F.when(F.col("sublinear"), 1.0 + F.log(F.col("tf").cast("double"))).otherwise(F.col("tf"))
     weighted = joined.select(
         "model", "window", "patent", "year", "term", "norm", (tf * F.col("idf")).alias("w")
     )
-    square_sum = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    lengths = weighted.where("norm IS NOT NULL").groupBy("model", "window", "patent").agg(
-        F.when(F.first("norm") == "l1", F.sum("w")).otherwise(square_sum).alias("len")
-    )
-    return weighted.join(lengths, ["model", "window", "patent"], "left").select(
-        "model", "window", "patent", "year", "term",
-        (F.col("w") / F.coalesce("len", F.lit(1.0))).alias("w"),
-    )
+    # the norm belongs to the model, so it is the same on all rows of a document
+    parts = []
+    for norm in ("l1", "l2"):
+        if any(m.norm == norm for _, m in named):
+            rows = weighted if len(named) == 1 else weighted.where(F.col("norm") == norm)
+            parts.append(unit_rows(rows, ["model", "window", "patent"], norm))
+    if any(m.norm is None for _, m in named):
+        parts.append(weighted.where("norm IS NULL"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("model", "window", "patent", "year", "term", "w")
 
 
 # --- weighted counts -----------------------------------------------------------------------------
@@ -283,14 +325,12 @@ class WeightedCounts:
             weight = inverse_weight(F.col("total"))
         else:
             weight = logistic_weight(F.col("total"), F.col("max_total"))
-        weights = stats.join(largest, "window").select("window", "term", weight.alias("weight"))
-        joined = skew_join(
-            corpus.in_windows(counts), weights, ["window", "term"], counts=stats.select("window", "term", "n")
-        ).select("window", "patent", "year", "term", (F.col("tf") * F.col("weight")).alias("w"))
-        lengths = joined.groupBy("window", "patent").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-        unit = F.col("w") / F.coalesce(F.nullif(F.col("len"), F.lit(0.0)), F.lit(1.0))
-        return joined.join(lengths, ["window", "patent"]).select(
-            F.lit(name).alias("model"), "window", "patent", "year", "term", unit.alias("w")
+        weights = stats.join(largest, "window").select("window", "term", "n", weight.alias("weight"))
+        joined = corpus.lookup(counts, weights, ["term"], "n", ["weight"]).select(
+            "window", "patent", "year", "term", (F.col("tf") * F.col("weight")).alias("w")
+        )
+        return unit_rows(joined, ["window", "patent"], "l2").select(
+            F.lit(name).alias("model"), "window", "patent", "year", "term", "w"
         )
 
 
@@ -336,13 +376,10 @@ class TokenVectorMean:
             window_sizes(corpus.members), "window"
         )
         vectors = self.token_vectors.select(F.col("token").alias("term"), "vector")
-        factors = stats.join(vectors, "term").select(
-            "window", "term", rare_token_weight(F.col("df"), F.col("n_docs")).alias("factor"), "vector"
-        )
-        joined = skew_join(
-            corpus.in_windows(counts), factors, ["window", "term"],
-            counts=stats.select("window", "term", F.col("df").alias("n")),
-        )
+        factor = rare_token_weight(F.col("df"), F.col("n_docs")).alias("factor")
+        factors = stats.join(vectors.select("term"), "term", "left_semi").select("window", "term", "df", factor)
+        joined = corpus.lookup(counts, factors, ["term"], "df", ["factor"])
+        joined = joined.join(vectors, "term")
         # a weighted mean with map-side partial sums, inside the JVM
         mean = Summarizer.mean(array_to_vector("vector"), F.col("tf") * F.col("factor"))
         out = joined.groupBy("window", "patent", "year").agg(mean.alias("m")).select(

@@ -13,7 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.vectors import l2_normalise, smoothed_ratio, unit_similarity
 from tidemark.operators import blocks as B
@@ -221,11 +221,11 @@ def paired_similarities(
 
 def unit_terms(embeddings: DataFrame) -> DataFrame:
     """Long-form vectors divided by their length; zero vectors have no rows."""
-    lengths = embeddings.groupBy("model", "window", "patent").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len")
-    )
+    docs = Window.partitionBy("model", "window", "patent")  # one document's terms
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(docs))
     return (
-        embeddings.join(lengths.where("_len > 0"), ["model", "window", "patent"])
+        embeddings.withColumn("_len", length)
+        .where("_len > 0")
         .withColumn("w", F.col("w") / F.col("_len"))
         .drop("_len")
     )
@@ -283,8 +283,10 @@ def sparse_means(units: DataFrame, members: DataFrame, models: DataFrame) -> Dat
         at("back").alias("wb"), at("forward").alias("wf")
     )
     focal = placed.where("side = 'focal'")
+    most = members.where("side = 'focal'").groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    largest = most.agg(F.max("n")).first()[0] or 0  # no term has more focal rows in a window
     dots = (
-        skew_join(focal, sums, ["model", "window", "term"], "left")
+        skew_join(focal, sums, ["model", "window", "term"], "left", most=largest)
         .groupBy("model", "window", "patent")
         .agg(
             F.sum(F.col("w") * F.coalesce("wb", F.lit(0.0))).alias("db"),
