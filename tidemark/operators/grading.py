@@ -59,7 +59,8 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "spearm
     for value, rank in (("_x", "_rx"), ("_y", "_ry")):
         ranks = tie_averaged_ranks(rows, group, value)
         ranked = ranked.join(ranks.select(*group, value, F.col("rank").alias(rank)), [*group, value])
-    value = F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry"))
+    spread = F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
+    value = F.covar_pop("_rx", "_ry") / spread
     return ranked.groupBy(*group).agg(value.alias(out))
 
 
