@@ -9,8 +9,8 @@ from tidemark.operators.windows import WindowSpec
 
 # six documents with invented codes that share levels in different depths
 ROWS = [
-    (1, 0, "A01C7/04"), (2, 0, "B41F1/40"), (2, 1, "G10S101/35"), (3, 0, "C21C5/04"), (4, 0, "B41F1/30"),
-    (4, 1, "B41F1/40"), (4, 2, "F16C11/02"), (5, 0, "C08J2321/00"), (6, 0, "B66B9/0807"), (6, 1, "B66B9/083"),
+    (1, 0, "D05B3/07"), (1, 1, "D05B3/7"), (2, 0, "H02K11/21"), (3, 0, "D05C1/02"), (3, 1, "E21B7/12"),
+    (3, 2, "E21B7/12"), (4, 0, "E21B7/18"), (5, 0, "G09G5/006"), (5, 1, "H02K15/21"), (6, 0, "C12N9/88"),
 ]
 
 
@@ -99,8 +99,8 @@ def test_code_scores(spark, method):
 
 
 def test_malformed_codes_are_counted(spark, codes):
-    bad = spark.createDataFrame([(7, 0, "??"), (8, 0, "B66B9/083")], "pat long, progr int, CPC string")
+    bad = spark.createDataFrame([(7, 0, "??"), (8, 0, "H02K11/021")], "pat long, progr int, CPC string")
     assert C.malformed_codes(bad).first()["malformed"] == 1
     years = spark.createDataFrame([(7, 1900), (8, 1901)], "pat long, year int")
     got = C.code_vectors(bad, years).collect()
-    assert [(r["pat"], r["levels"]) for r in got] == [(8, [66, 6, 6, 66, 9, 83])]
+    assert [(r["pat"], r["levels"]) for r in got] == [(8, [72, 0, 2, 75, 11, 21])]
