@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,9 @@ from tidemark.operators.grading import (
     pair_similarity_sparse,
 )
 from tidemark.operators.windows import window_years
+from tidemark.session import cut_lineage
+
+CALENDAR = 10_000  # years between the calendars of two preprocessor settings
 
 
 def text_params(params: dict) -> dict[str, str]:
@@ -152,20 +156,44 @@ def sweep_preprocessors(
     label: str, kind: str, docs: DataFrame, codes: DataFrame, windows: DataFrame,
     finished: DataFrame | None = None, prep_class=Preprocessor, settings: dict | None = None, **tables,
 ) -> DataFrame:
-    """J-5: every combination of the preprocessor's switches, except the finished ones."""
+    """J-5: every combination of the preprocessor's switches, except the finished ones.
+
+    All settings run as one job: each gets a calendar of its own (its years are shifted by CALENDAR),
+    so that its documents and windows never meet those of another setting. The switches do not decide
+    which documents are accepted, so all settings share their pairs.
+    """
     spark = docs.sparkSession
     if finished is None:
         finished = spark.createDataFrame([], schemas.TRIALS)
     done = finished.where(F.col("label") == label)
     todo = pending_trials(trial_frame(spark, label, grid(prep_class.search)), done).collect()  # 2^k rows
-    out = done
-    for row in todo:
-        params = parse_params(row["params"], prep_class.search)
-        cleaned, pairs = tuning_data(docs, codes, windows, prep_class(**params))
-        loss = objective(label, kind, [settings or {}], cleaned, pairs, windows, **tables)
-        named = F.create_map(*[F.lit(x) for kv in text_params(params).items() for x in kv])
-        out = out.unionByName(loss.withColumn("params", named if params else F.col("params")))
-    return out
+    if not todo:
+        return done
+    preps = [prep_class(**parse_params(row["params"], prep_class.search)) for row in todo]
+    parts = []
+    for n, prep in enumerate(preps):
+        cleaned, pairs = tuning_data(docs, codes, windows, prep)
+        parts.append(
+            cleaned.select(
+                (F.col("patent") * len(preps) + n).alias("patent"), (F.col("year") + n * CALENDAR).alias("year"),
+                "contents",
+            )
+        )
+    variant = F.explode(F.sequence(F.lit(0), F.lit(len(preps) - 1)))
+    name = F.concat_ws("|", "n", "window").alias("window")
+    shifted = windows.withColumn("n", variant).select(
+        name, *[(F.col(c) + F.col("n") * CALENDAR).cast("int").alias(c) for c in ("start", "end")]
+    )
+    ids = [(F.col(c) * len(preps) + F.col("n")).alias(c) for c in ("i", "j")]
+    pairs = cut_lineage(pairs).withColumn("n", variant).select(name, *ids, "correlation")
+    model = create_model(kind, {**(settings or {}), **tables})
+    vectors = model.transform(Corpus.of(reduce(DataFrame.unionByName, parts), shifted), label)
+    similar = (pair_similarity_sparse if model.sparse else pair_similarity)(pairs, vectors)
+    grades = model_grades(similar).withColumn("n", F.split("window", r"\|")[0].cast("int"))
+    losses = grades.groupBy("n").agg((-F.avg("spearman")).alias("loss"))
+    params = [(label, n, row["params"]) for n, row in enumerate(todo)]
+    named = spark.createDataFrame(params, "label STRING, n INT, params MAP<STRING,STRING>")
+    return done.unionByName(named.join(losses, "n").select("label", "params", "loss"))
 
 
 def ranked_trials(trials: DataFrame, label: str | None = None, n: int | None = None) -> DataFrame:

@@ -235,3 +235,14 @@ def pending_trials(spark, sf):
     long = v.table(spark, sf, "documents").where("n_chars > 8000")
     done = long.select(F.col("lang").alias("label"), F.create_map(F.lit("source"), "source").alias("params"))
     return flat_trials(SW.pending_trials(trials(spark, sf), done))
+
+
+@query("sweep_preprocessors")
+def sweep_preprocessors(spark, sf):
+    """J-5: the eight switch settings of the preprocessor, graded with weighted counts."""
+    return flat_trials(
+        SW.sweep_preprocessors(
+            "prep", E.WeightedCounts.kind, v.docs(spark, sf), v.codes(spark, sf), v.EPOCHS.frame(spark),
+            settings={"method": "prop"},
+        )
+    )
