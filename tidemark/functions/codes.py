@@ -29,11 +29,15 @@ def int_levels(code: Column) -> Column:
 
 
 def code_similarity(a: Column, b: Column, base: float = BASE) -> Column:
-    """S-8: 1 - base^i at the first differing level i, 1 when all levels agree."""
-    first_diff = F.array_position(F.zip_with(a, b, lambda x, y: x != y), True)
-    return F.when(first_diff == 0, F.lit(1.0)).otherwise(
-        1.0 - F.pow(F.lit(base), (first_diff - 1).cast("double"))
-    )
+    """S-8: 1 - base^i at the first differing level i, 1 when all levels agree.
+
+    Tested level by level: most codes differ in the first.
+    """
+    level = lambda c, i: F.get(c, i)
+    out = F.when(level(a, 0) != level(b, 0), F.lit(level_similarity(0, base)))
+    for i in range(1, LEVELS):
+        out = out.when(level(a, i) != level(b, i), F.lit(level_similarity(i, base)))
+    return out.otherwise(F.lit(1.0))
 
 
 def prefixes(levels: Column) -> Column:

@@ -31,7 +31,7 @@ def with_block(df: DataFrame, keys: list[str], rows: int, by: str = "patent") ->
 
 def gather_dense(df: DataFrame, keys: list[str], vector: str, order: str = "patent") -> DataFrame:
     """One row per block: ``ids`` and ``flat``, the row-major matrix of the block."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in ("patent",) if c != order], vector)))
+    rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in ("patent",) if c != order], vector)))
     return df.groupBy(*keys, "block").agg(rows.alias("rows")).select(
         *keys,
         "block",
@@ -43,7 +43,7 @@ def gather_dense(df: DataFrame, keys: list[str], vector: str, order: str = "pate
 def gather_sparse(df: DataFrame, keys: list[str], order: str = "patent") -> DataFrame:
     """One row per block from documents with arrays ``terms`` and ``ws``; flat, with row lengths."""
     extra = [c for c in ("patent",) if c != order]
-    rows = F.array_sort(F.collect_list(F.struct(order, *extra, "terms", "ws")))
+    rows = F.sort_array(F.collect_list(F.struct(order, *extra, "terms", "ws")))
     return df.groupBy(*keys, "block").agg(rows.alias("rows")).select(
         *keys,
         "block",
@@ -194,5 +194,5 @@ def sum_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def join_chunks(chunk: Column, vals: Column) -> Column:
     """Aggregate that puts the chunks of a vector back together."""
-    parts = F.array_sort(F.collect_list(F.struct(chunk.alias("chunk"), vals.alias("vals"))))
+    parts = F.sort_array(F.collect_list(F.struct(chunk.alias("chunk"), vals.alias("vals"))))
     return F.flatten(F.transform(parts, lambda p: p["vals"]))

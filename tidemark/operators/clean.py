@@ -171,7 +171,7 @@ def reassemble_words(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Adds ``words_reassembled``. ``patent`` identifies a document.
     """
-    found = merges(docs, lexicon).groupBy("patent").agg(F.array_sort(F.collect_list("at")).alias("_at"))
+    found = merges(docs, lexicon).groupBy("patent").agg(F.sort_array(F.collect_list("at")).alias("_at"))
     none = F.array().cast("array<int>")
     step = docs.join(found, "patent", "left").withColumn("_at", F.coalesce("_at", none))
     step = step.withColumn("_t", T.split_words(F.col("contents")))

@@ -23,7 +23,7 @@ from tidemark.operators.blocks import ROWS, with_block
 from tidemark.operators.ranking import with_position
 from tidemark.operators.scores import as_exponents, power_mean
 from tidemark.operators.skew import skew_join
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, fan_out
 
 
 def codes_with_year(codes: DataFrame, years: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def codes_for_docs(codes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def codes_per_doc(codes: DataFrame) -> DataFrame:
     """G-1: the list of codes of each document, in ``progr`` order."""
-    rows = F.array_sort(F.collect_list(F.struct("progr", "CPC")))
+    rows = F.sort_array(F.collect_list(F.struct("progr", "CPC")))
     return codes.groupBy("pat").agg(rows.alias("rows")).select("pat", F.col("rows.CPC").alias("CPC"))
 
 
@@ -81,7 +81,7 @@ def pair_code_similarity(pairs: DataFrame, codes: DataFrame, base: float = BASE)
     value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
         list_similarity(F.col("_a"), F.col("_b"), base)
     )
-    joined = pairs.join(left, "i", "left").join(right, "j", "left")
+    joined = fan_out(pairs, "i", "j").join(left, "i", "left").join(right, "j", "left")
     return joined.withColumn("correlation", value).drop("_a", "_b").select(
         *pairs.columns, "correlation"
     )
@@ -237,7 +237,7 @@ def frame_sizes(vectors: DataFrame, frame: DataFrame) -> DataFrame:
 def add_prefix(key: Column, p: Column) -> Column:
     """The prefix set ``key`` and ``p``: ancestors of a member add nothing and are left out."""
     return F.when(F.exists(key, lambda e: e.startswith(p)), key).otherwise(
-        F.array_sort(F.array_append(F.filter(key, lambda e: ~p.startswith(e)), p))
+        F.sort_array(F.array_append(F.filter(key, lambda e: ~p.startswith(e)), p))
     )
 
 
@@ -249,7 +249,7 @@ def weighted_prefixes(vectors: DataFrame) -> DataFrame:
         F.sum(F.get(gains, F.col("level"))).alias("w"), F.count_if(F.col("level") == 0).alias("rows")
     )
     docs = weights.groupBy("pat", "year").agg(
-        F.array_sort(F.collect_list(F.struct("prefix", "w"))).alias("held"), F.sum("rows").alias("m")
+        F.sort_array(F.collect_list(F.struct("prefix", "w"))).alias("held"), F.sum("rows").alias("m")
     )
     mean = lambda e: F.struct(e["prefix"].alias("prefix"), (e["w"] / F.col("m")).alias("w"))
     return docs.select("pat", "year", F.transform("held", mean).alias("held"))

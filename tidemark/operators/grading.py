@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.vectors import dot
 from tidemark.operators.ranking import first_n, tie_averaged_ranks
 from tidemark.operators.windows import plot_year
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, fan_out
 
 
 def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -15,32 +15,39 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     side = lambda c, v: embeddings.select(
         "model", "window", F.col("patent").alias(c), F.col("embedding").alias(v)
     )
-    joined = pairs.join(side("i", "_a"), ["window", "i"]).join(side("j", "_b"), ["model", "window", "j"])
+    joined = fan_out(pairs, "window", "i").join(side("i", "_a"), ["window", "i"]).join(side("j", "_b"), ["model", "window", "j"])
     return joined.withColumn("similarity", dot(F.col("_a"), F.col("_b"))).select(
         "model", *pairs.columns, "similarity"
     )
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Dot product of two arrays of (term, w): sorted together, a common term is two neighbours."""
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
+    add = lambda acc, x: F.struct(
+        x["term"].alias("term"), x["w"].alias("w"),
+        (acc["s"] + F.when(acc["term"] == x["term"], acc["w"] * x["w"]).otherwise(0.0)).alias("s"),
+    )
+    return F.aggregate(F.sort_array(F.concat(a, b)), none, add, lambda acc: acc["s"])
+
+
 def pair_similarity_sparse(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """C-8 for long-form vectors; pairs without a common term get 0."""
+    """C-8 for long-form vectors; pairs without a common term get 0.
+
+    A document's terms travel as one array, so a pair is one row throughout.
+    """
+    entry = F.struct(F.col("term"), F.col("w").cast("double").alias("w"))
+    docs = embeddings.groupBy("model", "window", "patent").agg(F.collect_list(entry).alias("v"))
+    side = lambda c, v: docs.select("model", "window", F.col("patent").alias(c), F.col("v").alias(v))
     models = embeddings.select("model", "window").distinct()
-    all_pairs = pairs.distinct().join(models, "window")
-    keys = ["model", "window", "i", "j"]
-    terms = embeddings.select("model", "window", "patent", "term", "w")
-    left = all_pairs.select(*keys).distinct().join(
-        terms.select("model", "window", F.col("patent").alias("i"), "term", F.col("w").alias("wi")),
-        ["model", "window", "i"],
-    )
-    dots = (
-        left.join(
-            terms.select("model", "window", F.col("patent").alias("j"), "term", F.col("w").alias("wj")),
-            ["model", "window", "j", "term"],
-        )
-        .groupBy(*keys)
-        .agg(F.sum(F.col("wi") * F.col("wj")).alias("s"))
+    joined = (
+        fan_out(pairs, "window", "i")
+        .join(models, "window")
+        .join(side("i", "_a"), ["model", "window", "i"], "left")
+        .join(side("j", "_b"), ["model", "window", "j"], "left")
     )
-    return pairs.join(models, "window").join(dots, keys, "left").select(
-        "model", *pairs.columns, F.coalesce("s", F.lit(0.0)).alias("similarity")
+    return joined.select(
+        "model", *pairs.columns, F.coalesce(sparse_dot(F.col("_a"), F.col("_b")), F.lit(0.0)).alias("similarity")
     )
 
 

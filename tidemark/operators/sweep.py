@@ -80,7 +80,7 @@ def trial_frame(spark: SparkSession, label: str, trials: list[dict]) -> DataFram
 def params_key(params=None):
     """Maps are not join keys; their sorted entries are."""
     column = F.col("params") if params is None else params
-    entries = F.array_sort(F.map_entries(column))
+    entries = F.sort_array(F.map_entries(column))
     return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
 
 

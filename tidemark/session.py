@@ -57,3 +57,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread short rows (ids) over all shuffle partitions, ahead of a costly computation per row.
+
+    A join that Spark turns into a broadcast join would otherwise run on as few tasks as the ids need.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -99,7 +99,7 @@ def glue_strays(records: DataFrame) -> DataFrame:
     extra = (
         texts.join(owners, ["path", "block", "rid", "part"])
         .groupBy("path", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "rid", "part", "text"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "rid", "part", "text"))).alias("s"))
         .select(
             "path", F.col("owner.rid").alias("rid"), F.col("owner.part").alias("part"),
             F.array_join("s.text", "").alias("_more"),
