@@ -106,9 +106,10 @@ def sample_pairs(
     Documents take positions 0..n-1; partners sit at ``k`` circular offsets, equally spaced from a
     hashed start, so a document never meets itself or a partner twice, and the job is an equi-join
     of n*k rows. A group of at most k+1 documents gives all its pairs i < j instead.
-    ``min_docs`` makes a smaller group an error.
+    ``min_docs`` makes a smaller group an error. ``docs`` lists a document once per group.
     """
-    placed = with_position(docs.select(*group, "patent").distinct(), group, "patent")
+    # ids and positions only; read for the group sizes and for both sides of the pairs
+    placed = cut_lineage(with_position(docs.select(*group, "patent"), group, "patent"))
     sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     if min_docs is not None:
         message = F.format_string("need %d documents with codes to sample pairs", F.lit(min_docs))
@@ -116,14 +117,15 @@ def sample_pairs(
             "n", F.when(F.col("n") < min_docs, F.raise_error(message).cast("long")).otherwise(F.col("n"))
         )
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    rows = placed.join(sizes, group).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     others = F.nullif(F.col("n") - 1, F.lit(0))
     text = F.concat_ws("-", F.col("patent").cast("string"), seed.cast("string"))
     start = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    rows = placed.join(sizes, group).withColumn("start", F.pmod(start, others))
+    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     step = F.greatest(F.expr(f"(n - 1) div {k}"), F.lit(1))
     all_pairs = F.col("n") - 1 <= k
     offset = F.when(all_pairs, F.col("m") + 1).otherwise(
-        F.pmod(F.pmod(start, others) + F.col("m") * step, others) + 1
+        F.pmod(F.col("start") + F.col("m") * step, others) + 1
     )
     rows = rows.where(~all_pairs | (F.col("m") + 1 <= F.col("n") - 1))
     rows = rows.withColumn("_to", F.pmod(F.col("pos") + offset, F.col("n")))
