@@ -113,10 +113,10 @@ def test_trials(spark):
     trials = spark.createDataFrame(rows, "label string, params map<string,string>, loss double")
     assert {r["label"]: r["params"]["x"] for r in SW.best_trial(trials).collect()} == {"a": "2", "b": "1"}
     assert SW.best_model(
-        spark.createDataFrame([("c", {"method": "prop"}, 0.1)], trials.schema), "c", "CountVecEmbedder", E.WeightedCounts.search
+        spark.createDataFrame([("c", {"method": "prop"}, 0.1)], trials.schema), "c", "WeightedCounts", E.WeightedCounts.search
     ) == E.WeightedCounts("prop")
     with pytest.raises(KeyError):
-        SW.best_model(trials, "none", "CountVecEmbedder", E.WeightedCounts.search)
+        SW.best_model(trials, "none", "WeightedCounts", E.WeightedCounts.search)
     todo = SW.pending_trials(SW.trial_frame(spark, "a", [{"x": 1}, {"x": 3}]), trials).collect()
     assert [r["params"] for r in todo] == [{"x": "3"}]
 
@@ -125,7 +125,7 @@ def test_sweep_resumes(spark, sf):
     windows = v.EPOCHS.frame(spark)
     cleaned, pairs = SW.tuning_data(v.docs(spark, sf), v.codes(spark, sf), windows)
     finished = spark.createDataFrame([("c", {"method": m}, -1.0) for m in ("prop", "sigmoid")], SW.schemas.TRIALS)
-    got = SW.sweep_models("c", "CountVecEmbedder", E.WeightedCounts.search, 2, finished, cleaned, pairs, windows)
+    got = SW.sweep_models("c", "WeightedCounts", E.WeightedCounts.search, 2, finished, cleaned, pairs, windows)
     assert got.where("loss = -1").count() == 2 and got.count() == 2
 
 

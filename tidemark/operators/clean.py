@@ -243,7 +243,7 @@ class WordListPreprocessor:
     symbols: tuple[str, ...] = ()
     greek: tuple[tuple[str, str], ...] = ()
 
-    kind = "OldPreprocessor"
+    kind = "WordListPreprocessor"
     search = {}
     MAX_LIST = 20_000
 

@@ -139,7 +139,7 @@ class Tfidf:
     min_df: int = 3
     max_df: float = 1.0
 
-    kind = "TfidfEmbedder"
+    kind = "Tfidf"
     sparse = True
     search = {  # J-3: lists are choices, pairs with a type are ranges
         "ngram_max": [1, 2, 3],
@@ -305,7 +305,7 @@ class WeightedCounts:
 
     method: str = "sigmoid"
 
-    kind = "CountVecEmbedder"
+    kind = "WeightedCounts"
     sparse = True
     search = {"method": ["prop", "sigmoid"]}
 
@@ -351,7 +351,7 @@ class TokenVectorMean:
     token_vectors: DataFrame | None = field(default=None, compare=False, repr=False)
     tokenizer: Callable[[Column], Column] = field(default=T.split_words, compare=False, repr=False)
 
-    kind = "BPembEmbedder"
+    kind = "TokenVectorMean"
     sparse = False
     search = {
         "vector_size": [25, 50, 100, 200, 300],
@@ -435,7 +435,7 @@ class TrainedVectors:
     seed: int = 1
     partitions: int = 8
 
-    kind = "D2VEmbedder"
+    kind = "TrainedVectors"
     sparse = False
     search = {
         "vector_size": ("int", 100, 300),
@@ -506,7 +506,7 @@ class PretrainedEncoder:
     pretrained_model: str = "prithivida/bert-for-patents-64d"
     loader: Callable[[], Callable] = field(default_factory=hashing_encoder, compare=False, repr=False)
 
-    kind = "BERTEmbedder"
+    kind = "PretrainedEncoder"
     sparse = False
     pretrained = True
     search = {  # fixed values: the names of the public models a run may choose from
