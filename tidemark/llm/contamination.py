@@ -24,12 +24,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.text_map import keep_rows
+
 WORD = re.compile(r"[^\W_]+").findall
 K1, B = 1.2, 0.75
 RANGES = 32
@@ -161,39 +166,54 @@ class Index:
         return [(self.keys[item], *best[item]) for item in sorted(best)]
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, part_words: int = 1_000_000
-) -> DataFrame:
-    """(doc_id, item_id, score, question, answer): a row for each document and each test item that it holds."""
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+def indexes(benchmark: DataFrame, part_words: int) -> Iterator[Broadcast]:
+    """The index of each part of the benchmark, broadcast. A part has about ``part_words`` words."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     sized = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(words)).alias("words")).first()
     total, length = sized["n"], sized["words"] or 0
     parts = max(1, -(-length // part_words))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     frequency = items.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    found = None
     for number in range(parts):
-        own = items.where(part == number)
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == number)
         terms = own.select(F.explode(words).alias("term")).distinct()
         counts = {r["term"]: r["n"] for r in frequency.join(terms, "term").collect()}  # at most part_words terms
         rows = [(r["item_id"], r["text"]) for r in own.collect()]  # about part_words words
-        index = spark.sparkContext.broadcast(Index(rows, counts, total, max(length / max(total, 1), 1.0)))
+        yield spark.sparkContext.broadcast(Index(rows, counts, total, max(length / max(total, 1), 1.0)))
 
-        def run(batches, index=index):
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, part_words: int = 1_000_000
+) -> DataFrame:
+    """(doc_id, item_id, score, question, answer): a row for each document and each test item that it holds."""
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "item_id", "score", "question", "answer"]
+
+    def scan(index: Broadcast) -> DataFrame:
+        def run(batches):
             for batch in batches:
                 out = [
                     (doc, *m)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                     for m in (index.value.matches(text, threshold, overlap) if text else [])
                 ]
-                columns = list(zip(*out)) or [[], [], [], [], []]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question", "answer"]
-                )
-
-        leaks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
-        found = leaks if found is None else found.unionByName(leaks)
-    return found
+                columns = list(zip(*out)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+
+    return reduce(DataFrame.unionByName, map(scan, indexes(benchmark, part_words)))
+
+
+def keep_unleaked(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, part_words: int = 1_000_000
+) -> DataFrame:
+    """The rows, with all their columns, whose text holds no test item."""
+    for index in indexes(benchmark, part_words):
+
+        def make(index=index):
+            return lambda text: not (text and index.value.matches(text, threshold, overlap))
+
+        docs = keep_rows(docs, "text", make)
+    return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.pieces import Memo
-from tidemark.llm.text_map import map_rows
+from tidemark.llm.text_map import keep_rows, map_rows
 
 WORD = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
@@ -137,3 +137,18 @@ def predict_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         return lambda key, text: (key, *(model.predict(text, of_word) if text else ("und", 0.0)))
 
     return map_rows(df, [id_col, text_col], "doc_id long, lang_pred string, score double", make)
+
+
+def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language, at that score or higher."""
+
+    def make():
+        of_word = Memo(model.of_word, 200_000, 40)
+
+        def identified(text):
+            lang, score = model.predict(text, of_word) if text else ("und", 0.0)
+            return lang != "und" and score >= least
+
+        return identified
+
+    return keep_rows(df, text_col, make)

@@ -238,6 +238,14 @@ def near_join(
     )
 
 
+def keep_one(df: DataFrame, **options) -> DataFrame:
+    """The rows, with all their columns, of one document of each class, the one of the lowest id; rows without an id stay."""
+    joined = near_join(df, **options)
+    others = joined.where("doc_id != class_id").select(F.col("doc_id").alias("_other"))
+    id_col = options.get("id_col", "doc_id")
+    return df.join(others, F.col(id_col) == F.col("_other"), "left_anti")
+
+
 def _with_sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,3 +29,15 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, worker: Callable[[]
                 )
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, worker: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows, with all their columns, for whose value the function says yes. ``worker()`` runs once in each task."""
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = worker()
+        for batch in batches:
+            yield batch.filter(pa.array([bool(function(v)) for v in batch.column(place).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.pieces import Memo
-from tidemark.llm.text_map import map_rows
+from tidemark.llm.text_map import keep_rows, map_rows
 from tidemark.session import cut_lineage
 
 # Signs that are written for letters.
@@ -356,6 +356,17 @@ def score_texts(df: DataFrame, model: CharacterModel, classifier: Classifier) ->
     return map_rows(df, ["doc_id", "text"], "doc_id long, score double, predicted int", make)
 
 
+def keep_clean(df: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
+    """The rows, with all their columns, whose text is not predicted to be toxic."""
+    key = f"score-{id(model)}-{len(classifier.strengths)}"
+
+    def make():
+        worker = _worker(key, model, classifier.strengths)
+        return lambda text: classifier.score(worker.stats(text or "")) < 0.5
+
+    return keep_rows(df, "text", make)
+
+
 def restore_texts(df: DataFrame, model: CharacterModel) -> DataFrame:
     """doc_id and the text with its disguised words restored; null texts stay null."""
     key = f"restore-{id(model)}"
