@@ -71,7 +71,7 @@ def test_token_vectors(spark, corpus):
     rng = np.random.default_rng(0)
     table = {t: rng.normal(size=4) for t in sorted({w for t in TEXTS for w in t.split()})}
     rows = spark.createDataFrame([(t, x.tolist()) for t, x in table.items()], "token string, vector array<double>")
-    raw = E.TokenVectorMean(token_vectors=rows, remove_common=False).transform(corpus, "m")
+    raw = E.TokenVectorMean(vector_size=4, token_vectors=rows, remove_common=False).transform(corpus, "m")
     want = {}
     for i, text in enumerate(TEXTS):
         words = text.split()
@@ -82,10 +82,18 @@ def test_token_vectors(spark, corpus):
     x = np.array([want[i] for i in range(4)])
     direction = np.linalg.svd(x)[2][0]
     rest = x - np.outer(x @ direction, direction)
-    for r in E.TokenVectorMean(token_vectors=rows).transform(corpus, "m").collect():
+    for r in E.TokenVectorMean(vector_size=4, token_vectors=rows).transform(corpus, "m").collect():
         assert r["embedding"] == pytest.approx(rest[r["patent"]], abs=1e-9)
     with pytest.raises(ValueError):
         E.TokenVectorMean().transform(corpus, "m")
+    keyed = rows.selectExpr("token", "vector", "1000 AS vocab_size").unionByName(
+        rows.selectExpr("token", "slice(vector, 1, 2) AS vector", "3000 AS vocab_size")
+    )
+    sizes = {}
+    for size, vocabulary in ((4, 1000), (2, 3000), (2, 1000)):
+        model = E.TokenVectorMean(size, vocabulary, False, token_vectors=keyed)
+        sizes[size, vocabulary] = {len(r["embedding"]) for r in model.transform(corpus, "m").collect()}
+    assert sizes == {(4, 1000): {4}, (2, 3000): {2}, (2, 1000): set()}
 
 
 def test_trained_and_pretrained(spark, corpus):
@@ -93,6 +101,12 @@ def test_trained_and_pretrained(spark, corpus):
     assert len(trained) == 4 and all(len(r["embedding"]) == 5 for r in trained)
     encoder = E.PretrainedEncoder(loader=E.hashing_encoder(16))
     assert all(len(r["embedding"]) == 16 for r in encoder.transform(corpus, "m").collect())
+    other = E.PretrainedEncoder("anferico/bert-for-patents", loader=E.hashing_encoder(16)).encode(corpus.docs)
+    assert {tuple(r["embedding"]) for r in other.collect()} != {tuple(r["embedding"]) for r in encoder.encode(corpus.docs).collect()}
+    with pytest.raises(ValueError):
+        E.PretrainedEncoder().encode(corpus.docs)
+    with pytest.raises(Exception, match="there is no encoder"):
+        E.PretrainedEncoder("no such model", loader=E.hashing_encoder()).encode(corpus.docs).collect()
     stored = spark.createDataFrame([(0, 1900, [9.0])], "patent long, year int, embedding array<double>")
     got = {r["patent"]: r["embedding"] for r in encoder.encode_new(corpus.docs, stored).collect()}
     assert got[0] == [9.0] and len(got) == 4

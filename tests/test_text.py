@@ -116,8 +116,12 @@ def test_word_lists(spark):
     assert prep.clean(docs).first()["contents"] == " alpha-beta  .   levers"
     stems = spark.createDataFrame([("levers", "lever"), ("beta", "b")], "token string, stem string")
     assert prep.clean(docs, stems).first()["contents"] == " alpha-  .   lever"
-    with pytest.raises(ValueError):
-        C.WordListPreprocessor(stop_words=tuple(str(i) for i in range(20_001))).clean(docs)
+    long = spark.range(50_000).selectExpr("concat('stop', cast(id as string)) AS word").union(spark.createDataFrame([("the",)], "word string"))
+    symbols = spark.createDataFrame([("fig",)], "symbol string")
+    greek = spark.createDataFrame([("alfa", "alpha")], "variant string, standard string")
+    tables = C.WordListPreprocessor(stop_words=long, symbols=symbols, greek=greek)
+    assert tables.clean(docs).first()["contents"] == " alpha-beta  .   levers"
+    assert C.WordListPreprocessor().clean(docs).first()["contents"] == "the alfa-beta  fig.   levers"
 
 
 def test_extra_columns_pass_through(spark):

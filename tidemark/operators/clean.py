@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.windows import limit_per_year
@@ -235,17 +235,20 @@ class Preprocessor:
 
 @dataclass(frozen=True)
 class WordListPreprocessor:
-    """H-7: the older cleaning by word lists. Word lists are parameters, bounded by MAX_LIST."""
+    """H-7: the older cleaning by word lists.
+
+    Each list is a tuple, or a table of any length: words or symbols in the first column, for ``greek`` the variant and
+    the standard in the first two. Only the distinct words of a document meet the lists, by a join.
+    """
 
     keep_missing_years: bool = False
     keep_empty_patents: bool = False
-    stop_words: tuple[str, ...] = ()
-    symbols: tuple[str, ...] = ()
-    greek: tuple[tuple[str, str], ...] = ()
+    stop_words: tuple[str, ...] | DataFrame = ()
+    symbols: tuple[str, ...] | DataFrame = ()
+    greek: tuple[tuple[str, str], ...] | DataFrame = ()
 
     kind = "WordListPreprocessor"
     search = {}
-    MAX_LIST = 20_000
 
     def settings(self) -> dict:
         return {
@@ -257,25 +260,30 @@ class WordListPreprocessor:
         docs = filter_empty(filter_missing_year(docs, self.keep_missing_years), self.keep_empty_patents)
         return docs if max_per_year is None else limit_per_year(docs, max_per_year)
 
-    def normal_word(self, word: Column) -> Column:
-        """A lower-cased word: its Greek standard, itself, or the empty string when rejected."""
-        unwanted = [*self.stop_words, *self.symbols]
-        if len(unwanted) + len(self.greek) > self.MAX_LIST:
-            raise ValueError(f"word lists are limited to {self.MAX_LIST} entries")
+    def swaps(self, spark: SparkSession) -> DataFrame:
+        """``(token, stem)``: the Greek standard of a variant, the empty string for an unwanted word."""
+
+        def rows(words, width: int) -> DataFrame:
+            if isinstance(words, DataFrame):
+                pair = [F.col(c).alias(n) for c, n in zip(words.columns[:width], ("token", "stem"))]
+                return words.select(*pair, *([] if width == 2 else [F.lit("").alias("stem")]))
+            pairs = [tuple(w) if width == 2 else (w, "") for w in words]
+            return spark.createDataFrame(pairs, "token string, stem string")
+
+        unwanted = rows(self.stop_words, 1).unionByName(rows(self.symbols, 1))
+        # a standard is greater than the empty string; of several standards the greatest
+        return unwanted.unionByName(rows(self.greek, 2)).groupBy("token").agg(F.max("stem").alias("stem"))
+
+    @staticmethod
+    def normal_word(word: Column) -> Column:
+        """A lower-cased word, or the empty string when its form is rejected."""
         bad = (
             (F.length(word) < 2)
             | ~word.rlike(r"^\p{L}+$")
             | word.rlike(r"^[mdcxvi]+[a-z]$")
             | word.rlike(rf"({T.WORD})\1\1")
         )
-        if unwanted:
-            bad = bad | word.isin(*unwanted)
-        kept = F.when(bad, F.lit("")).otherwise(word)
-        if not self.greek:
-            return kept
-        variants = [v for v, _ in self.greek]
-        table = F.create_map(*[F.lit(x) for pair in dict(self.greek).items() for x in pair])
-        return F.when(word.isin(*variants), F.try_element_at(table, word)).otherwise(kept)
+        return F.when(bad, F.lit("")).otherwise(word)
 
     def clean(
         self, docs: DataFrame, stems: DataFrame | None = None, max_per_year: int | None = None
@@ -284,26 +292,38 @@ class WordListPreprocessor:
         out = self.accepted(docs, max_per_year)
         pieces = F.regexp_extract_all(F.col("contents"), F.lit(f"({T.WORD}+|[^\\p{{L}}\\p{{N}}_]+)"), F.lit(1))
         is_word = lambda p: p.rlike(f"^{T.WORD}")
-        swapped = F.transform(
-            pieces, lambda p: F.when(is_word(p), self.normal_word(F.lower(p))).otherwise(p)
-        )
+        lowered = F.transform(pieces, lambda p: F.when(is_word(p), F.lower(p)).otherwise(p))
+        out = out.withColumn("_p", lowered)
+        if any(isinstance(x, DataFrame) or x for x in (self.stop_words, self.symbols, self.greek)):
+            out = with_replacements(out, self.swaps(docs.sparkSession))
+            listed = lambda p: F.try_element_at("_stems", p)
+            swapped = lambda p: F.coalesce(listed(p), self.normal_word(p))
+        else:
+            swapped = self.normal_word
+        out = out.withColumn("_p", F.transform("_p", lambda p: F.when(is_word(p), swapped(p)).otherwise(p))).drop("_stems")
         if stems is None:
             final = F.transform(
                 "_p", lambda p: F.when(is_word(p) & (F.length(p) < 2), F.lit("")).otherwise(p)
             )
-            return out.withColumn("_p", swapped).withColumn("contents", F.array_join(final, "")).drop("_p")
-        return stem_pieces(out.withColumn("_p", swapped), stems)
+            return out.withColumn("contents", F.array_join(final, "")).drop("_p")
+        return stem_pieces(out, stems)
 
 
-def stem_pieces(docs: DataFrame, stems: DataFrame) -> DataFrame:
-    """Replace the word pieces of ``_p`` by their stems, looking up each document's vocabulary once."""
+def with_replacements(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Add ``_stems``, the replacements ``table(token, stem)`` of the words in ``_p``, looking up each document's vocabulary once."""
     is_word = lambda p: p.rlike(f"^{T.WORD}")
     vocabulary = docs.select(
         "patent", F.explode(F.array_distinct(F.filter("_p", is_word))).alias("token")
     )
-    changed = vocabulary.join(stems.where("stem <> token"), "token").groupBy("patent").agg(
+    changed = vocabulary.join(table, "token").groupBy("patent").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "stem"))).alias("_stems")
     )
+    return docs.join(changed, "patent", "left")
+
+
+def stem_pieces(docs: DataFrame, stems: DataFrame) -> DataFrame:
+    """Replace the word pieces of ``_p`` by their stems."""
+    is_word = lambda p: p.rlike(f"^{T.WORD}")
     stemmed = lambda p: F.coalesce(F.try_element_at("_stems", p), p)
     final = F.transform(
         "_p",
@@ -311,6 +331,5 @@ def stem_pieces(docs: DataFrame, stems: DataFrame) -> DataFrame:
             F.when(F.length(stemmed(p)) < 2, F.lit("")).otherwise(stemmed(p))
         ),
     )
-    return docs.join(changed, "patent", "left").withColumn("contents", F.array_join(final, "")).drop(
-        "_p", "_stems"
-    )
+    changed = with_replacements(docs, stems.where("stem <> token"))
+    return changed.withColumn("contents", F.array_join(final, "")).drop("_p", "_stems")

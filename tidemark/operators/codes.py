@@ -58,7 +58,7 @@ def counted_codes(codes: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Each document's distinct codes with their counts: as long as its vocabulary, not its rows."""
     counted = codes.groupBy("pat", *keep, "CPC").agg(F.count(F.lit(1)).alias("n"))
     entry = F.struct(text_levels(F.col("CPC")).alias("levels"), F.col("n").alias("n"))
-    return counted.groupBy("pat", *keep).agg(F.collect_list(entry).alias("codes"))
+    return counted.groupBy("pat", *keep).agg(F.sort_array(F.collect_list(entry)).alias("codes"))
 
 
 def list_similarity(a: Column, b: Column, base: float = BASE) -> Column:

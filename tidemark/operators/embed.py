@@ -342,7 +342,8 @@ class TokenVectorMean:
     """E-3: mean of token vectors, rare tokens first, without the common direction of the window.
 
     ``token_vectors(token, vector)`` is a table; tokens are white-space words unless ``tokenizer``
-    maps the text column to an array of tokens.
+    maps the text column to an array of tokens. Only vectors of ``vector_size`` are used; a table of several
+    vocabularies has a column ``vocab_size``, by which they are told apart.
     """
 
     vector_size: int = 300
@@ -368,6 +369,13 @@ class TokenVectorMean:
         counts = cut_lineage(term_counts(tokens, 1).drop("order"))
         return self.weigh(corpus, counts, name)
 
+    def own_vectors(self) -> DataFrame:
+        """(term, vector) of this setting's size and vocabulary."""
+        table = self.token_vectors.where(F.size("vector") == self.vector_size)
+        if "vocab_size" in table.columns:
+            table = table.where(F.col("vocab_size") == self.vocab_size)
+        return table.select(F.col("token").alias("term"), "vector")
+
     def weigh(self, corpus: Corpus, counts: DataFrame, name: str) -> DataFrame:
         from pyspark.ml.functions import array_to_vector, vector_to_array
         from pyspark.ml.stat import Summarizer
@@ -375,7 +383,7 @@ class TokenVectorMean:
         stats = corpus.term_stats(counts, [], {"df": F.count(F.lit(1))}).join(
             window_sizes(corpus.members), "window"
         )
-        vectors = self.token_vectors.select(F.col("token").alias("term"), "vector")
+        vectors = self.own_vectors()
         factor = rare_token_weight(F.col("df"), F.col("n_docs")).alias("factor")
         factors = stats.join(vectors.select("term"), "term", "left_semi").select("window", "term", "df", factor)
         joined = corpus.lookup(counts, factors, ["term"], "df", ["factor"])
@@ -433,7 +441,7 @@ class TrainedVectors:
     min_count: int = 2
     epoch: int = 10
     seed: int = 1
-    partitions: int = 8
+    partitions: int | None = None  # the session's number of shuffle partitions
 
     kind = "TrainedVectors"
     sparse = False
@@ -452,6 +460,7 @@ class TrainedVectors:
 
         tokens = corpus.docs.select("patent", "year", T.word_tokens(F.col("contents")).alias("tokens"))
         names = [r["window"] for r in corpus.windows.select("window").collect()]  # the run's windows
+        partitions = self.partitions or int(corpus.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = []
         for window in names:
             member = corpus.members.where(F.col("window") == window).select("patent")
@@ -460,7 +469,7 @@ class TrainedVectors:
                 continue
             model = Word2Vec(
                 vectorSize=self.vector_size, minCount=self.min_count, maxIter=self.epoch, seed=self.seed,
-                numPartitions=self.partitions, inputCol="tokens", outputCol="vector",
+                numPartitions=partitions, inputCol="tokens", outputCol="vector",
             ).fit(docs)
             parts.append(
                 model.transform(docs).select(
@@ -476,18 +485,28 @@ class TrainedVectors:
         return out
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """A small stand-in encoder: signed hashed word counts."""
+def hashing_encoder(dim: int = 64) -> Callable[[str], Callable[[list[str]], np.ndarray]]:
+    """A small stand-in for encoders: signed word counts, placed by the md5 of the encoder's name and the word. It knows
+    the names of ``PretrainedEncoder.search`` only."""
+
+    def load(name: str) -> Callable[[list[str]], np.ndarray]:
+        from functools import lru_cache
+        from hashlib import md5
+
+        if name not in PretrainedEncoder.search["pretrained_model"]:
+            raise ValueError(f"there is no encoder {name!r}")
 
-    def load() -> Callable[[list[str]], np.ndarray]:
-        from zlib import crc32
+        @lru_cache(100_000)
+        def place(word: str) -> tuple[int, float]:
+            h = int(md5(f"{name}:{word}".encode()).hexdigest()[:8], 16)
+            return h % dim, 1.0 if (h >> 16) & 1 else -1.0
 
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for row, text in zip(out, texts):
                 for word in text.lower().split():
-                    h = crc32(word.encode("utf-8"))
-                    row[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+                    k, sign = place(word)
+                    row[k] += sign
             return out
 
         return encode
@@ -499,12 +518,12 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndar
 class PretrainedEncoder:
     """E-5, C-14: a plug-in encoder, loaded once per Python worker; documents are encoded once.
 
-    ``loader`` returns the encode function (list of texts to matrix). A run with a named model needs
-    a loader that knows the name.
+    ``loader`` takes the model's name and returns its encode function (list of texts to matrix); it fails for a name
+    that it does not know. There is no default.
     """
 
     pretrained_model: str = "prithivida/bert-for-patents-64d"
-    loader: Callable[[], Callable] = field(default_factory=hashing_encoder, compare=False, repr=False)
+    loader: Callable[[str], Callable] | None = field(default=None, compare=False, repr=False)
 
     kind = "PretrainedEncoder"
     sparse = False
@@ -522,12 +541,14 @@ class PretrainedEncoder:
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """``(patent, year, embedding)``: no shuffle, one pass over the texts."""
-        loader = self.loader
+        if self.loader is None:
+            raise ValueError(f"a loader for {self.pretrained_model!r} is needed")
+        loader, model = self.loader, self.pretrained_model
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             encode = None
             for batch in batches:
-                encode = encode or loader()
+                encode = encode or loader(model)
                 if len(batch):
                     vectors = np.asarray(encode(list(batch["contents"])), dtype=float)
                     yield batch[["patent", "year"]].assign(embedding=list(vectors))
@@ -557,5 +578,5 @@ EMBEDDERS = {
 def create_model(kind: str, settings: dict):
     """A-15: an embedder by its stored class name and settings."""
     if kind not in EMBEDDERS:
-        raise ValueError(f"Unknown model type: {kind}.")
+        raise ValueError(f"no embedder is called {kind!r}")
     return EMBEDDERS[kind](**settings)

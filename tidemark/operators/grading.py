@@ -10,6 +10,9 @@ from tidemark.operators.windows import plot_year
 from tidemark.session import cut_lineage, fan_out
 
 
+DIGITS = 9  # of similarities that are ranked
+
+
 def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """C-8 for dense vectors: raw dot product of the two documents of each ``(window, i, j)``."""
     side = lambda c, v: embeddings.select(
@@ -72,8 +75,14 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "spearm
 
 
 def model_grades(similarities: DataFrame) -> DataFrame:
-    """G-8: ``(model, window, year, spearman)`` over all windows and models in one job."""
-    grades = spearman(similarities, ["model", "window"], "similarity", "correlation")
+    """G-8: ``(model, window, year, spearman)`` over all windows and models in one job.
+
+    Both sides are rounded first: sums of doubles differ in their last bits between runs, which would order ties at random.
+    """
+    rounded = similarities.select(
+        "model", "window", *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in ("similarity", "correlation")]
+    )
+    grades = spearman(rounded, ["model", "window"], "similarity", "correlation")
     return grades.select("model", "window", plot_year(F.col("window")).alias("year"), "spearman")
 
 
@@ -91,7 +100,7 @@ def check_models(models) -> list[str] | None:
         return models
     if isinstance(models, str):
         return [models]
-    raise TypeError("models must be a string or a list of strings")
+    raise TypeError(f"a model name or a list of names is needed, not {models!r}")
 
 
 def filter_models(df: DataFrame, models=None, window: str | None = None) -> DataFrame:

@@ -32,16 +32,20 @@ def bucket_offsets(counts: DataFrame, group: list[str], levels: int) -> DataFram
 
 
 def with_position(
-    df: DataFrame, group: list[str], key: str, out: str = "pos", levels: int = 2
+    df: DataFrame, group: list[str], key: str, out: str = "pos", levels: int = 2, upto: int | None = None
 ) -> DataFrame:
     """Add the zero-based position of each row in its group, ordered by the long column ``key``.
 
+    With ``upto``, buckets that start at that position or later are left out before their rows are joined or sorted.
+
     ``levels`` prefix sums of 16 bits sit above the 16 bits sorted inside a bucket: 2 keep every
     task bounded for keys below 2^48.
     """
     bucketed = df.withColumn("bucket", F.shiftright(key, BITS))
     counts = bucketed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = bucket_offsets(counts, group, levels).select(*group, "bucket", "before")
+    if upto is not None:
+        offsets = offsets.where(F.col("before") < upto)
     order = Window.partitionBy(*group, "bucket").orderBy(key)
     return (
         bucketed.join(offsets, [*group, "bucket"])
@@ -52,12 +56,17 @@ def with_position(
 
 def first_n(df: DataFrame, group: list[str], key: str, n: int, levels: int = 2) -> DataFrame:
     """The ``n`` rows with the smallest key of every group."""
-    return with_position(df, group, key, "_pos", levels).where(F.col("_pos") < n).drop("_pos")
+    return with_position(df, group, key, "_pos", levels, upto=n).where(F.col("_pos") < n).drop("_pos")
 
 
 def monotone_key(value: Column) -> Column:
-    """A long that never decreases with the double: arc tangent is semi-monotonic and bounded."""
-    return F.floor(F.atan(value) * float(1 << 46)).cast("long")
+    """A long that never decreases with the double.
+
+    The logarithm of 1 + |x| is semi-monotonic, at most 710, and tells large values apart by their ratio, so it has no
+    range where different values pile up.
+    """
+    size = F.floor(F.log1p(F.abs(value)) * float(1 << 52)).cast("long")
+    return F.when(value < 0, -size).otherwise(size)
 
 
 def tie_averaged_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -65,7 +74,7 @@ def tie_averaged_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame
     values = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     values = values.withColumn("bucket", F.shiftright(monotone_key(F.col(value)), BITS))
     counts = values.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
-    offsets = bucket_offsets(counts, group, levels=2).select(*group, "bucket", "before")
+    offsets = bucket_offsets(counts, group, levels=3).select(*group, "bucket", "before")
     order = (
         Window.partitionBy(*group, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )

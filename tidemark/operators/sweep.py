@@ -56,10 +56,15 @@ def param_space(spark: SparkSession, label: str, search: dict) -> DataFrame:
 
 
 def random_trials(search: dict, n: int, seed: int = 0) -> list[dict]:
-    """J-4: ``n`` seeded draws from a space; a longer draw starts with the shorter one."""
+    """J-4: ``n`` different seeded draws from a space; a longer draw starts with the shorter one.
+
+    A space of fewer than ``n`` settings gives those that a hundred draws for each wanted one have found.
+    """
     rng = random.Random(seed)
     out = []
-    for _ in range(n):
+    for _ in range(100 * n):
+        if len(out) == n:
+            break
         trial = {}
         for name, space in search.items():
             if isinstance(space, list):
@@ -68,7 +73,8 @@ def random_trials(search: dict, n: int, seed: int = 0) -> list[dict]:
                 trial[name] = rng.randint(space[1], space[2])
             else:
                 trial[name] = rng.uniform(space[1], space[2])
-        out.append(trial)
+        if trial not in out:
+            out.append(trial)
     return out
 
 
@@ -145,8 +151,10 @@ def sweep_models(
     if room <= 0:
         return done
     drawn = trial_frame(spark, label, random_trials(search, max_evals, seed))
-    rows = pending_trials(drawn, done).limit(room).collect()  # at most max_evals settings
-    todo = [parse_params(r["params"], search) for r in rows]
+    rows = pending_trials(drawn, done).collect()  # at most max_evals settings
+    left = [parse_params(r["params"], search) for r in rows]
+    place = {str(text_params(t)): n for n, t in enumerate(random_trials(search, max_evals, seed))}
+    todo = sorted(left, key=lambda t: place[str(text_params(t))])[:room]  # in the order of the draws
     if not todo:
         return done
     return done.unionByName(objective(label, kind, todo, cleaned, pairs, windows, **tables))
@@ -211,6 +219,14 @@ def best_trial(trials: DataFrame) -> DataFrame:
     )
 
 
+def best_preprocessor(trials: DataFrame, label: str, prep_class=Preprocessor):
+    """The preprocessor of the best trial."""
+    row = ranked_trials(trials, label, 1).first()
+    if row is None:
+        raise KeyError(f"no trials for {label!r}")
+    return prep_class(**parse_params(row["params"], prep_class.search))
+
+
 def best_model(trials: DataFrame, label: str, kind: str, search: dict):
     """The embedder of the best trial."""
     row = ranked_trials(trials, label, 1).first()

@@ -119,15 +119,25 @@ def write_by_year(spark, sf):
 
 @query(
     "append_new_docs",
-    v.sql_with(v.DOCS)
-    + "SELECT patent, year, file, md5(CASE WHEN patent % 3 = 0 THEN 'old' ELSE contents END) AS digest FROM docs",
+    v.sql_with(
+        v.DOCS,
+        "batch AS (SELECT patent, year, CASE WHEN patent % 5 = 1 THEN NULL ELSE file END AS file, contents FROM docs "
+        "UNION ALL SELECT patent, year, CASE WHEN patent % 4 = 0 THEN NULL ELSE file END, '!' || contents FROM docs WHERE patent % 7 < 2)",
+        "firsts AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY patent, year ORDER BY file IS NULL, file, contents) = 1)",
+    )
+    + "SELECT patent, year, CASE WHEN patent % 3 = 0 THEN docs.file ELSE firsts.file END AS file, "
+    "md5(CASE WHEN patent % 3 = 0 THEN 'old' ELSE firsts.contents END) AS digest FROM firsts JOIN docs USING (patent, year)",
 )
 def append_new_docs(spark, sf):
-    """A-10: a third of the documents is stored with another text, which stays."""
+    """A-10: a third of the documents is stored with another text, which stays; of the rest some have no file, and some
+    occur twice, in one file, in two, or without one."""
     path = scratch_path(spark, "by-year")
     docs = v.docs(spark, sf)
     D.write_by_year(docs.where("patent % 3 = 0").withColumn("contents", F.lit("old")), path)
-    D.append_new_docs(docs, path)
+    once = docs.withColumn("file", F.expr("CASE WHEN patent % 5 = 1 THEN NULL ELSE file END"))
+    again = docs.where("patent % 7 < 2").withColumn("file", F.expr("CASE WHEN patent % 4 = 0 THEN NULL ELSE file END"))
+    batch = once.unionByName(again.withColumn("contents", F.concat(F.lit("!"), "contents")))
+    D.append_new_docs(batch, path)
     return doc_rows(D.read_by_year(spark, path))
 
 
@@ -144,17 +154,24 @@ def write_cleaned(spark, sf):
     return back.groupBy("output").agg(F.count(F.lit(1)).alias("docs"), F.sum("patent").alias("ids"))
 
 
-@query("write_scores_csv", score_sql([1.0, 2.0, 3.0], WIDE_SQL.replace("SELECT model,", "SELECT 'vec' AS classifier,").replace("GROUP BY model,", "GROUP BY")))
+CSV_SQL = WIDE_SQL.replace("SELECT model,", "SELECT 'vec' AS classifier,").replace("GROUP BY model,", "GROUP BY")
+
+
+@query(
+    "write_scores_csv",
+    score_sql([1.0, 2.0, 3.0], f"SELECT t.model, w.* FROM ({CSV_SQL}) w CROSS JOIN (VALUES ('prep1-run-vec'), ('prep2-run-vec')) t(model)"),
+)
 def write_scores_csv(spark, sf):
-    """A-13, T-5."""
+    """A-13, T-5: the scores of two preprocessors, whose models are of one kind."""
     path = scratch_path(spark, "scores")
-    scores = dense_scores(spark, sf, [1, 2, 3]).withColumn("model", F.lit("default-run-vec"))
-    wide = scores_wide(scores)
+    names = F.explode(F.array(F.lit("prep1-run-vec"), F.lit("prep2-run-vec")))
+    wide = scores_wide(dense_scores(spark, sf, [1, 2, 3]).withColumn("model", names))
     D.write_scores_csv(wide, path)
     numbers = [c for c in wide.columns if "-" in c]
-    schema = ", ".join(["patent_ids LONG"] + [f"`{c}` DOUBLE" for c in numbers] + ["classifier STRING"])
+    kinds = {"patent_ids": "LONG", "model": "STRING"}
+    schema = ", ".join([f"`{c}` {kinds.get(c, 'DOUBLE')}" for c in wide.columns] + ["classifier STRING"])
     back = spark.read.schema(schema).csv(path, header=True)
-    return back.select("classifier", "patent_ids", *[F.round(f"`{c}`", 9).alias(c) for c in numbers])
+    return back.select("model", "classifier", "patent_ids", *[F.round(f"`{c}`", 9).alias(c) for c in numbers])
 
 
 # --- tables and word lists -----------------------------------------------------------------------

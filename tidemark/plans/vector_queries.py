@@ -89,6 +89,16 @@ SAMPLE = (
 
 @query(
     "embed_windows",
+    v.sql_with(*BASE, tokens_sql(True), COUNTS, WINDOW_COUNTS, tfidf_sql("tfidf", None, False, 2, 1.0)) + ROWS,
+)
+def embed_windows(spark, sf):
+    """E-6: every document of every window."""
+    model = E.Tfidf(stop_words=v.STOP_WORDS, norm=None, min_df=2)
+    return v.rounded(model.transform(corpus(spark, sf), "tfidf"), "w")
+
+
+@query(
+    "embed_sampled_windows",
     v.sql_with(
         *BASE, SAMPLE, tokens_sql(True), COUNTS,
         WINDOW_COUNTS.replace("JOIN members m", "JOIN sampled m").replace("FROM members", "FROM sampled"),
@@ -96,8 +106,8 @@ SAMPLE = (
     )
     + ROWS,
 )
-def embed_windows(spark, sf):
-    """E-6 on a sample of fifty documents per window."""
+def embed_sampled_windows(spark, sf):
+    """E-6 with P-1: a sample of fifty documents per window, as its sampling operator draws it."""
     from tidemark.operators.windows import sample_window
 
     members = sample_window(v.members(v.doc_years(spark, sf), v.EPOCHS), 50, seed=3)
@@ -204,31 +214,57 @@ def doc2vec(spark, sf):
     return E.TrainedVectors(vector_size=16, epoch=1).transform(rows, "doc2vec")
 
 
-@query("encode")
+ENCODER = "prithivida/bert-for-patents-64d"
+ENCODED = (
+    f"placed AS (SELECT patent, CAST('0x' || substr(md5('{ENCODER}:' || w), 1, 8) AS BIGINT) AS h "
+    "FROM (SELECT patent, unnest(string_split_regex(lower(contents), '\\s+')) AS w FROM docs) WHERE w <> ''), "
+    "places AS (SELECT patent, h % 64 AS k, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS x FROM placed GROUP BY ALL), "
+    "entries AS (SELECT patent, map_from_entries(list((k, x))) AS m FROM places GROUP BY patent), "
+    "encoded AS (SELECT patent, year, array_to_string(list_transform(range(64), lambda k: "
+    "CAST(CAST(coalesce(m[k], 0) AS INT) AS VARCHAR)), ',') AS embedding FROM docs LEFT JOIN entries USING (patent))"
+)
+
+
+def encoder():
+    return E.PretrainedEncoder(ENCODER, loader=E.hashing_encoder())
+
+
+def written(rows):
+    """Vectors of whole numbers as text."""
+    return rows.withColumn("embedding", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("int").cast("string"))))
+
+
+@query("encode", v.sql_with(v.DOCS, ENCODED) + "SELECT patent, year, embedding FROM encoded")
 def encode(spark, sf):
     """E-5 with the hashing stand-in encoder."""
-    return E.PretrainedEncoder().encode(v.docs(spark, sf))
+    return written(encoder().encode(v.docs(spark, sf)))
+
+
+@query("encode_named", v.sql_with(v.DOCS, ENCODED.replace(ENCODER, "anferico/bert-for-patents")) + "SELECT patent, year, embedding FROM encoded")
+def encode_named(spark, sf):
+    """E-5 with another name, which gives other vectors."""
+    return written(E.PretrainedEncoder("anferico/bert-for-patents", loader=E.hashing_encoder()).encode(v.docs(spark, sf)))
 
 
 @query(
     "embed_pretrained",
-    v.sql_with(v.DOCS, v.sql_windows(v.SLIDING), M) + "SELECT 'pre-encoder' AS model, \"window\", patent, year, 64 AS dim FROM members",
+    v.sql_with(v.DOCS, v.sql_windows(v.SLIDING), M, ENCODED)
+    + "SELECT 'pre-encoder' AS model, \"window\", patent, m.year, embedding FROM members m JOIN encoded USING (patent)",
 )
 def embed_pretrained(spark, sf):
     """E-7, C-14: each document encoded once, then placed in its eleven windows."""
-    rows = E.PretrainedEncoder().transform(corpus(spark, sf, v.SLIDING), "pre-encoder")
-    return rows.select("model", "window", "patent", "year", F.size("embedding").alias("dim"))
+    rows = encoder().transform(corpus(spark, sf, v.SLIDING), "pre-encoder")
+    return written(rows.select("model", "window", "patent", "year", "embedding"))
 
 
 @query(
     "embed_new_only",
-    "SELECT doc_id AS patent, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 64 END AS dim FROM documents",
+    v.sql_with(v.DOCS, ENCODED) + "SELECT patent, CASE WHEN patent % 3 = 0 THEN '1' ELSE embedding END AS embedding FROM encoded",
 )
 def embed_new_only(spark, sf):
     """C-14: a third of the documents has stored vectors of length one, the rest is encoded."""
     stored = v.doc_years(spark, sf).where("patent % 3 = 0").withColumn("embedding", F.array(F.lit(1.0)))
-    rows = E.PretrainedEncoder().encode_new(v.docs(spark, sf), stored)
-    return rows.select("patent", F.size("embedding").alias("dim"))
+    return written(encoder().encode_new(v.docs(spark, sf), stored).select("patent", "embedding"))
 
 
 SPARSE_SCORES = (

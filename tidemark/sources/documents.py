@@ -211,7 +211,7 @@ def read_documents(spark: SparkSession, path: str, schema: str = schemas.DOCUMEN
         return read_year_xz(spark, path, schema)
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in name.strip("."):
-        raise ValueError(f"Unsupported format for document '{path}'")
+        raise ValueError(f"{path!r} is neither .jsonl nor .xz")
     return read_jsonl(spark, path, schema).unionByName(
         read_year_xz(spark, path, schema), allowMissingColumns=True
     )
@@ -238,7 +238,10 @@ def write_by_year(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def new_documents(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """A-10: documents whose (year, id) is not stored; of equal ids the first file wins."""
+    """A-10: documents whose (year, id) is not stored.
+
+    Of equal ids the first file wins, rows without a file come last, and rows of one file go by their other columns.
+    """
     columns = [c for c in docs.columns if c not in ("year", "patent")]
     row = F.struct(*columns)
     fresh = docs.join(
@@ -246,7 +249,8 @@ def new_documents(docs: DataFrame, stored: DataFrame) -> DataFrame:
         docs["patent"].eqNullSafe(stored["patent"]) & docs["year"].eqNullSafe(stored["year"]),
         "left_anti",
     )
-    unique = fresh.groupBy("year", "patent").agg(F.min_by(row, F.col("file")).alias("_row"))
+    first = F.struct(F.col("file").isNull(), "file", *[c for c in columns if c != "file"])
+    unique = fresh.groupBy("year", "patent").agg(F.min_by(row, first).alias("_row"))
     return unique.select(*[F.col(f"_row.{c}") if c in columns else F.col(c) for c in docs.columns])
 
 
@@ -269,13 +273,15 @@ def write_cleaned(docs: DataFrame, path: str, source: str = "file") -> None:
 
 
 def write_scores_csv(wide: DataFrame, path: str) -> None:
-    """A-13: one CSV folder per model, named by the last part of the model name, in id order."""
+    """A-13: one CSV folder per kind of model, named by the last part of the model name, in id order.
+
+    The full name stays as a column: models of one kind (with other preprocessors) share the folder.
+    """
     classifier = F.element_at(F.split("model", "-"), -1)
     (
         wide.withColumn("classifier", classifier)
-        .drop("model")
         .hint("rebalance", "classifier")
-        .sortWithinPartitions("classifier", "patent_ids")
+        .sortWithinPartitions("classifier", "model", "patent_ids")
         .write.mode("overwrite")
         .partitionBy("classifier")
         .csv(path, header=True)

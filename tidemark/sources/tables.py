@@ -49,10 +49,3 @@ def read_greek(spark: SparkSession, path: str) -> DataFrame:
     variants = table.unpivot("standard", ["v1", "v2", "v3"], "column", "variant")
     return variants.where("variant <> '-' AND standard IS NOT NULL").select("variant", "standard")
 
-
-def bounded_list(df: DataFrame, column: str, limit: int) -> list[str]:
-    """A word list as literals, or an error when it is longer than ``limit``."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} entries in {column}")
-    return sorted(r[0] for r in rows)
