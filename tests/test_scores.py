@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ranking as R, scores as S, skew, windows as W
 from tidemark.operators.grading import model_grades, pair_similarity, pair_similarity_sparse, spearman
+from tidemark.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +160,9 @@ def test_window_spec(spark):
     assert spec.name == "s1838-w5-c10-dNone-nNone"
     names = spark.createDataFrame([("1900-1910",), ("1900",), ("window_1",), ("a-b-c",)], "w string")
     assert [r[0] for r in names.select(W.plot_year(F.col("w"))).collect()] == [1905.0, 1900.0, None, None]
+
+
+@pytest.mark.parametrize("name", ["scores_wide", "focal_range_join"])
+def test_vectors_are_read_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [vec_id") <= 2

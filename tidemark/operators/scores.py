@@ -66,14 +66,15 @@ def novelty_impact(
     ``method`` forces "moments" or "blocks" for all exponents.
     """
     exponents = as_exponents(exponents)
-    frame = frames(focal_years(window_docs, reach))
+    frame = cut_lineage(frames(focal_years(window_docs, reach)))  # windows x sides x years, read by every step
     own = "window" in embeddings.columns
     keys = ["model", "window", "year"] if own else ["model", "year"]
     if dim is None:
         first = embeddings.select(F.size("embedding").alias("d")).first()
         dim = first["d"] if first else 1
     vectors = embeddings.select(*keys, "patent", l2_normalise(F.col("embedding")).alias("unit"))
-    gathered = B.gather_dense(B.with_block(vectors, keys, rows), keys, "unit")
+    # blocks are read for moments, for focal documents and for pairs; the vectors behind them are read once
+    gathered = cut_lineage(B.gather_dense(B.with_block(vectors, keys, rows), keys, "unit"))
 
     moment = [p for p in exponents if (method or ("moments" if by_moments(p, dim) else "")) == "moments"]
     paired = [p for p in exponents if p not in moment]
@@ -245,7 +246,7 @@ def novelty_impact_sparse(
     similarity to everything is 1/2.
     """
     exponents = as_exponents(exponents)
-    frame = frames(focal_years(window_docs, reach))
+    frame = cut_lineage(frames(focal_years(window_docs, reach)))  # windows x sides x years, read by every step
     members = window_docs.join(frame, ["window", "year"])
     units = cut_lineage(unit_terms(embeddings.select("model", "window", "patent", "term", "w")))
     models = units.select("model", "window").distinct()
@@ -268,7 +269,7 @@ def novelty_impact_sparse(
             )
         )
         keys = ["model", "window", "year"]
-        gathered = B.gather_sparse(B.with_block(docs, keys, rows), keys)
+        gathered = cut_lineage(B.gather_sparse(B.with_block(docs, keys, rows), keys))
         parts.append(paired_similarities(gathered, frame, ["window", "year"], rest, sparse=True))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return finish(out, ["model", "window", "exponent", "focal_year", "patent"])
@@ -343,10 +344,13 @@ def scores_wide(scores: DataFrame, exponents: list[float] = (1.0, 2.0, 3.0)) ->
     ).drop("window")
 
 
-def lag_steps(spark) -> DataFrame:
-    """Distances of the autocorrelation: int(1.5 + 0.3 k^2) for k < 5000, at most 5000 rows."""
-    k = F.col("id").cast("double")
-    return spark.range(5000).select(F.floor(1.5 + 0.3 * k * k).cast("long").alias("delta")).distinct()
+# The distances of the autocorrelation are int(LAG_START + LAG_RATE * k^2) for k < LAGS.
+LAG_START, LAG_RATE, LAGS = 1.5, 0.3, 5000
+
+
+def lags() -> np.ndarray:
+    k = np.arange(LAGS, dtype=float)
+    return np.unique(np.floor(LAG_START + LAG_RATE * k * k).astype(np.int64))
 
 
 def autocorrelation(
@@ -382,29 +386,25 @@ def autocorrelation(
         )
         placed = units.join(positions, ["window", "patent"])
     placed = placed.withColumn("block", F.expr(f"pos div {rows}"))
-    gathered = (
+    gathered = cut_lineage(
         B.gather_sparse(placed, keys, "pos") if sparse else B.gather_dense(placed, keys, "unit", "pos")
     )
     content = ["ids", "lens", "terms", "flat"] if sparse else ["ids", "flat"]
-    deltas = lag_steps(spark)
-    steps = deltas.select(
-        F.explode(F.array(F.expr(f"delta div {rows}"), F.expr(f"delta div {rows} + 1"))).alias("q")
-    ).distinct()
-    last = F.expr(f"(n - 1) div {rows}")
-    left = gathered.join(sizes, "window").select(
-        *keys, "n", F.col("block").alias("a"),
-        *[F.col(c).alias(f"a_{c}") for c in content],
-        F.explode(F.sequence(F.col("block"), last)).alias("b"),
+    # names of blocks are paired at the distances that occur, then the blocks are joined to the pairs
+    apart = sorted({int(q) for d in lags() for q in (d // rows, d // rows + 1)})
+    steps = spark.createDataFrame([(q,) for q in apart], "q long")  # at most twice the lags
+    names = gathered.select(*keys, F.col("block").alias("a")).join(sizes, "window")
+    names = names.join(F.broadcast(steps), F.expr(f"a + q <= (n - 1) div {rows}"))
+    pairs = names.select(*keys, "n", "a", (F.col("a") + F.col("q")).alias("b"))
+    side = lambda p: gathered.select(
+        *keys, F.col("block").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in content]
     )
-    left = left.withColumn("q", F.col("b") - F.col("a")).join(steps, "q", "left_semi")
-    right = gathered.select(*keys, F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in content])
-    cells = left.join(right, [*keys, "b"]).select(
+    cells = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).select(
         *keys, "n", "a", "b", *[f"a_{c}" for c in content], *[f"b_{c}" for c in content]
     )
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = np.arange(5000, dtype=float)
-        all_deltas = np.unique(np.floor(1.5 + 0.3 * k * k).astype(np.int64))
+        all_deltas = lags()
         width = len(content)
         for batch in batches:
             for model, window, n, a, b, *data in batch.itertuples(index=False, name=None):
