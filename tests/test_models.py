@@ -143,6 +143,25 @@ def test_sweep_resumes(spark, sf):
     assert got.where("loss = -1").count() == 2 and got.count() == 2
 
 
+def test_stored_sweep_commits_in_batches(spark, sf, tmp_path):
+    windows = v.EPOCHS.frame(spark)
+    cleaned, pairs = SW.tuning_data(v.docs(spark, sf), v.codes(spark, sf), windows)
+    store = ResultStore(spark, str(tmp_path / "res"))
+    sweep = lambda n: runs.sweep_run(store, "c", "WeightedCounts", E.WeightedCounts.search, n, cleaned, pairs, windows, batch=1)
+    first = sweep(1).collect()
+    both = {r["params"]["method"]: r["loss"] for r in sweep(2).collect()}
+    assert len(first) == 1 and set(both) == {"prop", "sigmoid"} and both[first[0]["params"]["method"]] == first[0]["loss"]
+    assert SW.best_model(store.read("trials"), "c", "WeightedCounts", E.WeightedCounts.search).method == min(both, key=both.get)
+    preps = spark.createDataFrame([("p", {"keep_caps": "True"}, 0.2), ("p", {"keep_caps": "False"}, 0.3)], SW.schemas.TRIALS)
+    assert SW.best_preprocessor(preps, "p") == Preprocessor(keep_caps=True)
+
+
+def test_tokenizer_of_term_weights(spark, corpus):
+    every = E.Tfidf(stop_words=None, norm=None, min_df=1, tokenizer=lambda c: F.split(F.lower(c), ""))
+    terms = {r["term"] for r in every.transform(corpus, "m").collect()}
+    assert terms and all(len(t) <= 1 for t in terms) and "tokenizer" not in every.settings()
+
+
 def test_run_score_grade(spark, sf, tmp_path):
     store = ResultStore(spark, str(tmp_path / "res"))
     spec = WindowSpec(1900, 1912, 11, 1)

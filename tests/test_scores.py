@@ -160,6 +160,8 @@ def test_window_spec(spark):
     assert spec.name == "s1838-w5-c10-dNone-nNone"
     names = spark.createDataFrame([("1900-1910",), ("1900",), ("window_1",), ("a-b-c",)], "w string")
     assert [r[0] for r in names.select(W.plot_year(F.col("w"))).collect()] == [1905.0, 1900.0, None, None]
+    labels = [tuple(r) for r in names.select(W.plot_label(F.col("w")), "w").collect()]
+    assert [a for a, _ in labels[:2]] == ["1905.0", "1900.0"] and all(a == b for a, b in labels[2:])
 
 
 @pytest.mark.parametrize("name", ["scores_wide", "focal_range_join"])

@@ -103,6 +103,8 @@ def test_filters_count_year_before_text(spark):
         "patent long, file string, contents string, year int",
     )
     assert [r["patent"] for r in C.Preprocessor().accepted(docs).collect()] == [1]
+    counted = C.filter_stats(docs.withColumn("words_reassembled", F.lit(2))).where("file IS NULL").first()
+    assert counted["words_reassembled"] == 2 * docs.count()
     stats = {r["file"]: r for r in C.filter_stats(docs).collect()}
     assert (stats["f"]["processed"], stats["f"]["skipped_empty"], stats["f"]["skipped_no_year"]) == (1, 1, 1)
     assert stats[None]["skipped_no_year"] == 2

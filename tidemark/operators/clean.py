@@ -35,13 +35,17 @@ def filter_empty(docs: DataFrame, keep: bool = False) -> DataFrame:
 def filter_stats(
     docs: DataFrame, keep_missing_years: bool = False, keep_empty: bool = False
 ) -> DataFrame:
-    """G-14: processed and skipped documents per file, and in total (``file`` NULL)."""
+    """G-14: processed and skipped documents per file, and in total (``file`` NULL).
+
+    Documents that come out of ``reassemble_words`` add the number of words that were put together.
+    """
     no_year = ~has_year(F.col("year")) & F.lit(not keep_missing_years)
     empty = (F.length("contents") == 0) & F.lit(not keep_empty)
     return docs.rollup("file").agg(
         F.count_if(~no_year & ~empty).alias("processed"),
         F.count_if(~no_year & empty).alias("skipped_empty"),
         F.count_if(no_year).alias("skipped_no_year"),
+        *[F.sum(c).alias(c) for c in ("words_reassembled",) if c in docs.columns],
     )
 
 

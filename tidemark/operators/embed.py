@@ -129,7 +129,11 @@ def default_stop_words(spark: SparkSession, language: str = "english") -> list[s
 
 @dataclass(frozen=True)
 class Tfidf:
-    """E-1: term frequency times smoothed inverse document frequency, per window."""
+    """E-1: term frequency times smoothed inverse document frequency, per window.
+
+    ``tokenizer`` maps the text column to an array of tokens (for stems that may count signs and single letters); the
+    default takes words of two letters or more.
+    """
 
     ngram_max: int = 1
     stop_words: str | tuple[str, ...] | None = "english"
@@ -138,6 +142,7 @@ class Tfidf:
     sublinear_tf: bool = False
     min_df: int = 3
     max_df: float = 1.0
+    tokenizer: Callable[[Column], Column] | None = field(default=None, compare=False, repr=False)
 
     kind = "Tfidf"
     sparse = True
@@ -162,6 +167,7 @@ class Tfidf:
 
     def settings(self) -> dict:
         out = asdict(self)
+        del out["tokenizer"]
         out["norm"], out["stop_words"] = str(self.norm), str(self.stop_words)
         if isinstance(self.stop_words, tuple):
             out["stop_words"] = "words:" + ",".join(self.stop_words)
@@ -169,7 +175,7 @@ class Tfidf:
 
     def variant(self) -> tuple:
         """What decides the terms of a document, apart from the longest n-gram."""
-        return (self.stop_words, self.stem)
+        return (self.stop_words, self.stem, self.tokenizer or T.word_tokens)
 
     def transform(self, corpus: Corpus, name: str, stems: DataFrame | None = None) -> DataFrame:
         return tfidf(corpus, {name: self}, stems)
@@ -177,8 +183,8 @@ class Tfidf:
 
 def variant_tokens(docs: DataFrame, variant: tuple, stems: DataFrame | None) -> DataFrame:
     """``(patent, year, tokens)`` after stop words and stems."""
-    stop_words, stem = variant
-    tokens = T.word_tokens(F.col("contents"))
+    stop_words, stem, tokenizer = variant
+    tokens = tokenizer(F.col("contents"))
     if isinstance(stop_words, str):
         stop_words = default_stop_words(docs.sparkSession, stop_words)
     out = docs.select("patent", "year", tokens.alias("tokens"))

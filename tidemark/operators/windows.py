@@ -132,6 +132,11 @@ def split_focal(window_docs: DataFrame, reach: int | tuple[int, int] | None = No
     return window_docs.join(frames(focal_years(window_docs, reach)), ["window", "year"])
 
 
+def plot_label(window: Column) -> Column:
+    """B-6 with its fallback: the year as text, or the name itself when it is not numeric."""
+    return F.coalesce(plot_year(window).cast("string"), window)
+
+
 def plot_year(window: Column) -> Column:
     """B-6: a window name as a year; the mean of the halves of ``a-b``, NULL when not numeric."""
     parts = F.split(window, "-")

@@ -146,6 +146,23 @@ def all_pairs(spark, sf):
     return C.sample_pairs(rows, ["y"], 60, 0)
 
 
+@query(
+    "pairs_small_and_large",
+    v.sql_with(
+        "placed AS (SELECT CASE WHEN doc_id < 30 THEN 'small' || doc_id % 3 ELSE lang END AS y, doc_id AS patent FROM documents)",
+        sampled("y", 12, "0"),
+    )
+    + "SELECT g AS y, i, j FROM pairs",
+)
+def pairs_small_and_large(spark, sf):
+    """P-2, C-9 at any size of the tables: groups of ten give all their pairs, large groups twelve partners of each document."""
+    small = F.concat(F.lit("small"), (F.col("doc_id") % 3).cast("string"))
+    rows = v.table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") < 30, small).otherwise(F.col("lang")).alias("y"), F.col("doc_id").alias("patent")
+    )
+    return C.sample_pairs(rows, ["y"], 12, 0)
+
+
 @query(
     "year_pairs",
     v.sql_with(v.DOCS, v.CODES, v.LEVELS, "placed AS (SELECT * FROM docs)", sampled("year", 10, "12345"), SIMILAR)

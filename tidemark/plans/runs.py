@@ -15,6 +15,7 @@ from tidemark.operators.grading import (
     pair_similarity_sparse,
 )
 from tidemark.operators.scores import novelty_impact, novelty_impact_sparse, scores_cached, scores_wide
+from tidemark.operators.sweep import sweep_models
 from tidemark.operators.windows import WindowSpec, assign_windows, sample_window, window_years
 from tidemark.session import cut_lineage
 from tidemark.sources.documents import write_scores_csv
@@ -108,6 +109,19 @@ def store_scores(store: ResultStore, exponents=(1.0, 2.0, 3.0), cache: bool = Tr
     return scores
 
 
+def sweep_run(
+    store: ResultStore, label: str, kind: str, search: dict, max_evals: int, cleaned: DataFrame, pairs: DataFrame,
+    windows: DataFrame, seed: int = 0, batch: int = 10, **tables,
+) -> DataFrame:
+    """J-4 with a store: trials are committed every ``batch`` evaluations, so a sweep that breaks off goes on from there."""
+    for upto in range(min(batch, max_evals), max_evals + batch, batch):
+        finished = store.read("trials").where(F.col("label") == label)
+        store.put_trials(
+            sweep_models(label, kind, search, min(upto, max_evals), finished, cleaned, pairs, windows, seed, **tables)
+        )
+    return store.read("trials").where(F.col("label") == label)
+
+
 def score_run(store: ResultStore, out_dir: str, exponents=(1.0, 2.0, 3.0)) -> DataFrame:
     """J-6, J-7, A-13: score everything and write one CSV folder per model."""
     wide = scores_wide(store_scores(store, exponents, cache=False), list(exponents))
