@@ -135,6 +135,10 @@ def test_page_lines():
         lines = page_text.page_lines(PAGE % (box, box.split()[0]))
         assert " ".join(x.text for x in lines if not x.frame and x.article) == TEXT
         assert {x.text for x in lines if x.frame} >= {"Home", "Site", "We use cookies", "side", "buy", "first!", "Name", "© host"}
+    kept = lambda html: " ".join(x.text for x in page_text.page_lines(html) if not x.frame)
+    assert kept('<div class="content with-sidebar"><div class="article-header"><h1>T</h1><p>by X</p></div><p>a</p></div>') == "T a"
+    assert kept('<article class="post comments-open"><header><h2>T</h2>now</header><p>a</p><div class="commentsHeader"><h3>Said</h3></div>') == "T a"
+    assert kept('<article class="comment">no</article><div id="main-menu">no</div><p hidden>no</p><p>a</p>') == "a"
     assert page_text.page_lines(None) == [] == page_text.page_lines("") == page_text.page_lines("<script>never closed")
     assert [x.text for x in page_text.page_lines("a < b <i>c</i>d <3 &lt;p&gt;")] == ["a < b cd <3 <p>"]
 

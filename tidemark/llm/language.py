@@ -7,7 +7,7 @@ frequencies. The language with the highest sum wins; the score is its share afte
 at most ``evidence`` words.
 
 The training rows are a bounded sample (``sample_rows``, by hash), and the vocabulary keeps the ``words`` and ``grams``
-most frequent of each language, which bounds what is broadcast. Texts that are null or have no letter are ``und`` with
+most frequent of each of the ``languages`` most frequent languages, which bounds what is broadcast. Texts that are null or have no letter are ``und`` with
 score 0, as all texts are if nothing could be learnt. Languages that tie: the first by name. Rows with null languages or
 texts teach nothing. Repeated or null ids are each predicted by themselves; other columns are ignored.
 """
@@ -113,11 +113,14 @@ class Model:
 
 
 def fit(
-    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 20_000, words: int = 20_000, grams: int = 20_000
-) -> Model:
-    """A model of at most languages * (words + grams) entries; the kept languages are the 64 most frequent."""
+    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 20_000, words: int = 20_000, grams: int = 20_000,
+    languages: int = 256,
+) -> Model:
+    """A model of at most languages * (words + grams) entries."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("doc_id", lang_col, text_col)
-    total = usable.select("doc_id").count()
+    named = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages).collect()
+    usable = usable.where(F.col(lang_col).isin([r[lang_col] for r in named]))
+    total = sum(r["n"] for r in named)
     part = sample_rows / max(total, 1)
     if part < 1:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))

@@ -48,6 +48,9 @@ FRAME_WORDS = {
 }
 ARTICLE_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
+#: In a name such as "with-sidebar", what follows is not the element itself.
+OF_OTHERS = {"with", "has", "no", "is", "not", "without"}
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMING = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none""", re.I)
@@ -60,8 +63,15 @@ class Line(NamedTuple):
     article: bool
 
 
-def named_words(attributes: str) -> set[str]:
-    return {w for m in NAMING.finditer(attributes) for w in WORDS((m[2] or m[3] or m[4] or "").lower())} if attributes else set()
+def named_words(attributes: str, whole: bool = False) -> set[str]:
+    """The words of an element's classes, id and roles; with ``whole`` only names that are one word."""
+    out: set[str] = set()
+    for found in NAMING.finditer(attributes or ""):
+        for name in (found[2] or found[3] or found[4] or "").split():
+            words = WORDS(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+            if words and words[0] not in OF_OTHERS and not (whole and len(words) > 1):
+                out.update(words)
+    return out
 
 
 def page_lines(html: str | None) -> list[Line]:
@@ -111,16 +121,14 @@ def page_lines(html: str | None) -> list[Line]:
                 while open_boxes.pop()[0] != name:
                     pass
             continue
-        words = named_words(found[3])
-        frame = bool(words & FRAME_WORDS) or bool(found[3] and HIDDEN.search(found[3]))
+        words = named_words(found[3], whole=name in ARTICLE)
+        frame = bool(words & (FRAME_WORDS - {"header"})) or bool(found[3] and HIDDEN.search(found[3]))
         heading = name in HEADINGS
         if name in BOXES:
-            inside = any(b[2] for b in open_boxes)
-            header = name == "header" or (inside and frame and "header" in words)
-            open_boxes.append(
-                (name, name in FRAME or (frame and not (header and inside)) or (header and not inside),
-                 name in ARTICLE or bool(words & ARTICLE_WORDS), header and inside)
-            )
+            article = name in ARTICLE or bool(words & ARTICLE_WORDS)
+            inside = article or any(b[2] for b in open_boxes)
+            header = name == "header" or "header" in words  # inside the article, its headings belong to the article
+            open_boxes.append((name, name in FRAME or frame or (header and not inside), article, header and inside))
             own_frame = False
         else:
             own_frame = frame and name not in ("body", "html")

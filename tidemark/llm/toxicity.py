@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -107,6 +108,7 @@ class CharacterModel:
         self.one = self.two.reshape(64, 64).sum(0)
         self.context2 = counts3.reshape(4096, 64).sum(1)
         self.known: dict[int, float] = {}
+        self.key = uuid.uuid4().hex  # what processes remember is kept apart by model
 
     @classmethod
     def of(cls, counts: DataFrame) -> CharacterModel:
@@ -273,6 +275,7 @@ class Classifier:
 
     def __init__(self, strengths: dict[int, float], weights: np.ndarray):
         self.strengths, self.weights = strengths, [float(w) for w in weights]
+        self.key = uuid.uuid4().hex
 
     def score(self, stats: tuple[float, float, float]) -> float:
         x = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], stats))
@@ -281,7 +284,7 @@ class Classifier:
 
 def fit_strengths(rows: DataFrame, model: CharacterModel, least: float) -> dict[int, float]:
     """The share of toxic texts among those with a feature, of the features that mark toxic texts."""
-    key = f"fit-{id(model)}"
+    key = f"fit-{model.key}"
 
     def run(batches):
         worker = _worker(key, model, None)
@@ -328,7 +331,7 @@ def fit(df: DataFrame, labels: DataFrame, model: CharacterModel, per_label: int
     rows = df.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # 2 * per_label ids at most
     rows = cut_lineage(rows.select("text", "toxic"))
     strengths = fit_strengths(rows, model, least)
-    key = f"weigh-{id(model)}-{len(strengths)}"
+    key = f"weigh-{uuid.uuid4().hex}"
 
     def make():
         worker = _worker(key, model, strengths)
@@ -342,7 +345,7 @@ def fit(df: DataFrame, labels: DataFrame, model: CharacterModel, per_label: int
 
 def score_texts(df: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
     """doc_id, score and predicted of every row; see the module's text."""
-    key = f"score-{id(model)}-{len(classifier.strengths)}"
+    key = f"score-{model.key}-{classifier.key}"
 
     def make():
         worker = _worker(key, model, classifier.strengths)
@@ -358,7 +361,7 @@ def score_texts(df: DataFrame, model: CharacterModel, classifier: Classifier) ->
 
 def keep_clean(df: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
     """The rows, with all their columns, whose text is not predicted to be toxic."""
-    key = f"score-{id(model)}-{len(classifier.strengths)}"
+    key = f"score-{model.key}-{classifier.key}"
 
     def make():
         worker = _worker(key, model, classifier.strengths)
@@ -369,7 +372,7 @@ def keep_clean(df: DataFrame, model: CharacterModel, classifier: Classifier) ->
 
 def restore_texts(df: DataFrame, model: CharacterModel) -> DataFrame:
     """doc_id and the text with its disguised words restored; null texts stay null."""
-    key = f"restore-{id(model)}"
+    key = f"restore-{model.key}"
 
     def make():
         restorer = _worker(key, model, {}).restorer
