@@ -5,8 +5,8 @@ score is the share of an item's weight that the passage holds and one threshold
 by item; items fall into ranges, and each term keeps its largest weight in each range.
 
 Queries. A document's words are cut into overlapping windows so that an item's words lie in one window wherever they
-start. First, running sums of the range maxima bound each window's score in every range, all windows at once. Windows
-that can reach the threshold go through block-max WAND: lists in order of their next item, the pivot where the lists'
+start. First, sums of the maxima in a few coarse ranges bound each window's score, all windows at once; the finer ranges
+bound what is left. Windows that can reach the threshold go through block-max WAND: lists in order of their next item, the pivot where the lists'
 maxima reach the threshold, a skip to the end of the range if the range maxima do not. Every item above the threshold
 is returned, there is no top k. Then question and answer are verified: the answer is an item's last sentence (or
 its last fifth), and of both parts enough word 3-grams must stand in the window.
@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from tidemark.llm.text_map import keep_rows
 
 WORD = re.compile(r"[^\W_]+").findall
 K1, B = 1.2, 0.75
-RANGES = 32
+RANGES, CELLS = 32, 2_000_000  # coarse ranges of items, and the size of the table of maxima in the fine ones
 SCHEMA = "doc_id long, item_id long, score double, question double, answer double"
 
 
@@ -78,7 +80,6 @@ class Index:
         self.keys = [key for key, _, _ in words]
         self.parts = [question_and_answer(text) for _, text, _ in words]
         self.longest = max((len(w) for _, _, w in words), default=1)
-        self.span = max(1, -(-len(words) // RANGES))  # items in a range
         self.terms: dict[str, int] = {}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for number, (_, _, w) in enumerate(words):
@@ -91,10 +92,13 @@ class Index:
             for term, value in impact.items():
                 lists[self.terms.setdefault(term, len(self.terms))].append((number, value / own))
         self.postings = [Posting([i for i, _ in lists[t]], [v for _, v in lists[t]], max(v for _, v in lists[t])) for t in range(len(lists))]
-        self.most = np.zeros((len(lists), RANGES), np.float32)
+        ranges = max(RANGES, min(len(words), CELLS // max(len(lists), 1)) // RANGES * RANGES)
+        self.span = max(1, -(-len(words) // ranges))  # items in a range
+        self.most = np.zeros((len(lists), ranges), np.float32)
         for term, found in lists.items():
             for item, value in found:
                 self.most[term, item // self.span] = max(self.most[term, item // self.span], value)
+        self.coarse = self.most.reshape(len(lists), RANGES, ranges // RANGES).max(2)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) of at least the threshold, by block-max WAND over the distinct terms."""
@@ -103,9 +107,8 @@ class Index:
         goal = threshold - 1e-6
 
         def advance(entry: list, item: int) -> None:
-            items, at = self.postings[entry[2]].items, entry[1]
-            while at < len(items) and items[at] < item:
-                at += 1
+            items = self.postings[entry[2]].items
+            at = bisect_left(items, item, entry[1])
             entry[0], entry[1] = items[at] if at < len(items) else len(self.keys), at
 
         while True:
@@ -142,24 +145,28 @@ class Index:
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, share of the question, share of the answer) of the items that the text holds."""
         words = WORD(text.lower())
-        get = self.terms.get
-        codes = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        codes = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
         places = np.flatnonzero(codes >= 0)
         if not len(places):
             return []
-        codes = codes[places]
-        step = max(32, self.longest)
-        starts = np.arange(0, max(1, len(words) - step), step)
-        low, high = np.searchsorted(places, starts), np.searchsorted(places, starts + 2 * step)
+        step, size = max(32, self.longest), len(self.most)
+        # each word once in every stretch of ``step`` words; a window is two stretches, from one start to the next but one
+        stretch_words = np.unique(places // step * size + codes[places])
+        stretches, terms = stretch_words // size, stretch_words % size
         best: dict[int, tuple[float, float, float]] = {}
-        for a in range(0, len(starts), 512):  # a bounded slice of a very long text
-            lo, hi = low[a : a + 512], high[a : a + 512]
-            sums = np.zeros((int(hi[-1] - lo[0]) + 1, RANGES), np.float64)
-            np.cumsum(self.most[codes[lo[0] : hi[-1]]], axis=0, out=sums[1:])
-            bound = sums[hi - lo[0]] - sums[lo - lo[0]]
-            for k in np.flatnonzero((bound >= threshold - 1e-4).any(1)):
-                window = words[starts[a + k] : starts[a + k] + 2 * step]
-                for item, score in self.search(sorted({int(c) for c in codes[lo[k] : hi[k]]}), threshold):
+        count = max(1, -(-len(words) // step) - 1)
+        for first in range(0, count, 512):  # a bounded slice of a very long text
+            lo, hi = np.searchsorted(stretches, (first, min(first + 512, count) + 1))
+            sums = np.zeros((min(512, count - first) + 1, RANGES), np.float32)
+            if hi > lo:
+                starts = np.flatnonzero(np.diff(stretches[lo:hi], prepend=-1))
+                sums[stretches[lo:hi][starts] - first] = np.add.reduceat(self.coarse[terms[lo:hi]], starts, axis=0)
+            for k in first + np.flatnonzero((sums[:-1] + sums[1:] >= threshold - 1e-4).any(1)):
+                own = np.unique(terms[np.searchsorted(stretches, k) : np.searchsorted(stretches, k + 2)])
+                if self.most[own].sum(0, dtype=np.float64).max(initial=0) < threshold - 1e-4:
+                    continue
+                window = words[k * step : (k + 2) * step]
+                for item, score in self.search(own.tolist(), threshold):
                     question, answer = (share_inside(part, window) for part in self.parts[item])
                     if question >= overlap and answer >= overlap and score > best.get(item, (0.0,))[0]:
                         best[item] = score, question, answer
