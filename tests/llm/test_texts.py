@@ -115,6 +115,29 @@ def test_sample_takes_each_text_once(spark):
     assert toxicity.labelled_sample(df, labels, 2).count() == 4
 
 
+def test_a_cut_sample_predicts_as_the_natural_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    taught, held = labels.where(text_queries.id_remainder(5) != 0), labels.where(text_queries.id_remainder(5) == 0)
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").localCheckpoint()
+    model = toxicity.CharacterModel.of(toxicity.character_counts(docs))
+    toxic = {r.doc_id: r.toxic for r in held.collect()}
+    rows = docs.join(held.select("doc_id"), "doc_id", "left_semi").localCheckpoint()
+    once = toxicity.labelled_texts(docs, taught).localCheckpoint()
+    cut = once.where("toxic = 1").count()  # 1:1 from here on
+    assert toxicity.label_weights(once, cut)[0] > 5 and toxicity.label_weights(once, cut)[1] == 1
+    hits, seen = [], []
+    for per_label in (1 << 20, cut):
+        classifier = toxicity.fit(docs, taught, model, per_label=per_label)
+        predicted = {r.doc_id: r.predicted for r in toxicity.score_texts(rows, model, classifier).collect()}
+        seen.append(predicted)
+        hits.append([sum(p for i, p in predicted.items() if toxic[i] == v) for v in (0, 1)])
+    clean = sum(v == 0 for v in toxic.values())
+    print("clean and toxic documents predicted toxic:", hits, "of", clean, len(toxic) - clean)
+    assert abs(hits[1][0] - hits[0][0]) <= 0.02 * clean
+    assert sum(seen[0][i] == p for i, p in seen[1].items()) >= 0.95 * len(toxic)
+
+
 def test_held_out_language(spark):
     sf = "/root/testdata/sf0.01"
     want = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -12,7 +12,8 @@
    how many such tokens it has, and how dense they are. Texts without any get the rate of the rest.
 
 The sample is bounded (``per_label`` distinct texts of each label, lowest hash first), the character model is not a
-sample. Null and empty texts get the base rate. Null labels are no labels; of several labels of one document the
+sample. Each sampled text stands for as many as its label has per sampled one, so shares, strengths and weights are those
+of the labels' true mix whatever the sample's. Null and empty texts get the base rate. Null labels are no labels; of several labels of one document the
 highest counts, and copies of a text count once. Rows with repeated or null ids are scored each by itself. Columns
 other than the named ones are ignored. Empty tables give empty results; without labels every score is the base rate.
 """
@@ -260,16 +261,30 @@ def _worker(key: str, model: CharacterModel, strengths: dict[int, float] | None)
     return _workers[key]
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, per_label: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, toxic): at most ``per_label`` distinct texts of each label, those of the lowest hash."""
+def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(_hash, toxic, doc_id): the distinct labelled texts."""
     marked = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     texts = df.select(F.col(id_col).alias("_id"), F.xxhash64("text").alias("_hash")).where("_id IS NOT NULL")
-    once = texts.join(marked, "_id").groupBy("_hash").agg(F.max("toxic").alias("toxic"), F.min("_id").alias("doc_id"))
+    return texts.join(marked, "_id").groupBy("_hash").agg(F.max("toxic").alias("toxic"), F.min("_id").alias("doc_id"))
+
+
+def labelled_sample(df: DataFrame, labels: DataFrame, per_label: int, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, toxic): at most ``per_label`` distinct texts of each label, those of the lowest hash."""
+    return sample_of(labelled_texts(df, labels, id_col), per_label)
+
+
+def sample_of(once: DataFrame, per_label: int) -> DataFrame:
     order = [F.xxhash64("_hash"), F.col("doc_id")]
     picked = [once.where(F.col("toxic") == v).orderBy(*order).limit(per_label) for v in (0, 1)]
     return picked[0].unionByName(picked[1]).select("doc_id", "toxic")
 
 
+def label_weights(once: DataFrame, per_label: int) -> tuple[float, float]:
+    """How many distinct texts a sampled one stands for, of label 0 and of label 1."""
+    counts = {r["toxic"]: r["n"] for r in once.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return tuple(max(counts.get(v, 0) / per_label, 1.0) for v in (0, 1))
+
+
 class Classifier:
     """Strengths of features and the weights of what a text shows of them."""
 
@@ -282,8 +297,13 @@ class Classifier:
         return 1 / (1 + math.exp(-max(min(x, 30.0), -30.0)))
 
 
-def fit_strengths(rows: DataFrame, model: CharacterModel, least: float) -> dict[int, float]:
-    """The share of toxic texts among those with a feature, of the features that mark toxic texts."""
+def fit_strengths(
+    rows: DataFrame, model: CharacterModel, least: float, stands_for: tuple[float, float] = (1.0, 1.0)
+) -> dict[int, float]:
+    """The share of toxic texts among those with a feature, of the features that mark toxic texts.
+
+    ``stands_for``: see ``label_weights``. That a feature marks toxic texts at all is tested on what was counted, its share on the true mix.
+    """
     key = f"fit-{model.key}"
 
     def run(batches):
@@ -304,21 +324,25 @@ def fit_strengths(rows: DataFrame, model: CharacterModel, least: float) -> dict[
     n0, n1 = max(clean[0], 1.0), max(toxic[0], 1.0)
     share = (clean + toxic) / (n0 + n1)
     gap = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
-    n = np.maximum(toxic + clean, 1.0)
-    p = toxic / n
+    of0, of1 = stands_for
+    whole = np.maximum(of1 * toxic + of0 * clean, 1.0)
+    n = np.maximum(whole**2 / np.maximum(of1**2 * toxic + of0**2 * clean, 1e-12), 1.0)  # as many texts of equal weight; all if weights are equal
+    p = of1 * toxic / whole
     surely = (p + 2 / n - 2 * np.sqrt(p * (1 - p) / n + 1 / n**2)) / (1 + 4 / n)  # Wilson's bound at two deviations
     chosen = np.flatnonzero((gap > 4) & (surely > least))
-    return {int(f): float((toxic[f] + 0.25) / (n[f] + 0.5)) for f in chosen if f}
+    return {int(f): float((of1 * toxic[f] + 0.25) / (whole[f] + 0.5)) for f in chosen if f}
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method; few columns, a bounded number of rows."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, stands_for: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Logistic regression by Newton's method; few columns, a bounded number of rows, weighted by ``label_weights``."""
     x = np.column_stack([np.ones(len(x)), x])
     weights = np.zeros(x.shape[1])
+    times = np.where(y > 0, stands_for[1], stands_for[0])
+    times = times / times.mean()
     penalty = ridge * np.diag([0.01, *[1.0] * (x.shape[1] - 1)])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ weights)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (times * (y - p)) - penalty @ weights)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
@@ -327,10 +351,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def fit(df: DataFrame, labels: DataFrame, model: CharacterModel, per_label: int = 8000, least: float = 0.5) -> Classifier:
     """A classifier from the labelled sample; see the module's text."""
-    sample = labelled_sample(df, labels, per_label).withColumnRenamed("doc_id", "_id")
+    once = cut_lineage(labelled_texts(df, labels))
+    stands_for = label_weights(once, per_label)
+    sample = sample_of(once, per_label).withColumnRenamed("doc_id", "_id")
     rows = df.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # 2 * per_label ids at most
     rows = cut_lineage(rows.select("text", "toxic"))
-    strengths = fit_strengths(rows, model, least)
+    strengths = fit_strengths(rows, model, least, stands_for)
     key = f"weigh-{uuid.uuid4().hex}"
 
     def make():
@@ -340,7 +366,7 @@ def fit(df: DataFrame, labels: DataFrame, model: CharacterModel, per_label: int
     seen = map_rows(rows, ["text", "toxic"], "a double, b double, c double, y int", make).toPandas()  # as many rows as the sample
     if seen["y"].nunique() < 2:
         return Classifier(strengths, np.array([-3.0, 0.0, 0.0, 0.0]))
-    return Classifier(strengths, fit_weights(seen[["a", "b", "c"]].to_numpy(float), seen["y"].to_numpy(float)))
+    return Classifier(strengths, fit_weights(seen[["a", "b", "c"]].to_numpy(float), seen["y"].to_numpy(float), stands_for=stands_for))
 
 
 def score_texts(df: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
