@@ -143,6 +143,21 @@ def test_page_lines():
     assert [x.text for x in page_text.page_lines("a < b <i>c</i>d <3 &lt;p&gt;")] == ["a < b cd <3 <p>"]
 
 
+def test_page_lines_of_open_ends_and_wrappers():
+    kept = lambda html: " ".join(x.text for x in page_text.page_lines(html) if not x.frame)
+    assert kept("<html><head><title>no</title><meta charset=utf-8><body><p>a</p>") == "a"
+    assert kept("<head class='menu'><style>no</style><h1>a</h1><p>b") == "a b"
+    assert kept("<p>a<svg width='1' /><math/>b</p><svg/><p>c</p><svg><g>no</g></svg><p>d</p>") == "ab c d"
+    assert kept("<svg><svg><text>no</text></svg><text>no</text></svg><p>a</p>") == "a"
+    assert kept("<svg><path d='M0'><p>a</p>") == "a" and kept("<svg width=1/>no</svg><p>a</p>") == "a"
+    assert kept("<svg><foreignObject><p>no</p></foreignObject></svg><p>a</p>") == "a"
+    assert kept("<div class='layout right-sidebar'><h1>T</h1><article><p>a</p></article><aside>no</aside></div>") == "T a"
+    assert kept("<div id='content-with-sidebar'><main><p>a</p></main><div class='sidebar'>no</div></div>") == "a"
+    assert kept("<div class='right-sidebar'><p>no</p></div><article>a</article>") == "a"
+    assert kept("<div class='sidebar'><article>no</article></div><div class='related-posts'><article>no</article></div><p>a</p>") == "a"
+    assert kept("<aside><div class='left-menu'><article>no</article></div></aside><p>a</p>") == "a"
+
+
 def test_shared_lines_go_unless_the_article_or_a_copy():
     plain = lambda *t: [Line(x, False, False) for x in t]
     page, other = plain("Frame", "own text of this page", "Foot"), plain("Frame", "other text of that page", "Foot")

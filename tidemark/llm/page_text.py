@@ -3,7 +3,8 @@
 1. Every page becomes its text lines: the text of each block-level element, with character references decoded and white
    space made one space. A line knows whether it stands in a part that cannot be the article (menus, headers, footers,
    sidebars, forms, notices, adverts, reader comments: by element, role, or a word of the class or id), in a part that says it
-   is the article, or in neither. Scripts, styles and other unseen elements give no lines.
+   is the article, or in neither. A box of the layout whose longer class name holds such a word ("right-sidebar") is no such part
+   if the article is in it. Scripts, styles and other unseen elements give no lines.
 2. Pages are sorted by host and URL path (numbers in a path by value) with a range partitioning, so one host may span
    any number of tasks. Each page is paired with its neighbours of the same host.
 3. The lines of a pair are aligned by longest common subsequence. Shared lines are deleted: they are the host's frame. A
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Names of the HTML standard.
-UNSEEN = {"script", "style", "template", "svg", "select", "button", "textarea", "iframe", "noscript", "title", "head", "object", "canvas", "math"}
+UNSEEN = {"script", "style", "template", "svg", "select", "button", "textarea", "iframe", "noscript", "title", "object", "canvas", "math"}
+FOREIGN = {"svg", "math"}  # may close themselves, and end before an element of the page if they are never closed
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ARTICLE = {"article", "main"}
 BOXES = FRAME | ARTICLE | {"header", "section", "div", "ul", "ol", "dl", "table", "figure", "blockquote", "details", "fieldset", "address"}
@@ -48,6 +50,11 @@ FRAME_WORDS = {
 }
 ARTICLE_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
+#: Parts that hold articles other than the page's own.
+LISTS = {
+    "comment", "comments", "disqus", "promo", "recommended", "related", "replies", "reply", "sponsor", "sponsored", "teaser", "widget",
+}
+
 #: In a name such as "with-sidebar", what follows is not the element itself.
 OF_OTHERS = {"with", "has", "no", "is", "not", "without"}
 
@@ -57,6 +64,9 @@ HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[a-z]+").findall
 
 
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+/$")  # the slash belongs to the value
+
+
 class Line(NamedTuple):
     text: str
     frame: bool
@@ -74,10 +84,34 @@ def named_words(attributes: str, whole: bool = False) -> set[str]:
     return out
 
 
+def unseen_end(html: str, at: int, name: str, attributes: str) -> int:
+    """Where an unseen element that opened before ``at`` ends."""
+    if name in FOREIGN and attributes.endswith("/") and not UNQUOTED_END.search(attributes):
+        return at
+    if name not in FOREIGN:
+        shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+        return shut.end() if shut else len(html)
+    depth, first = 1, None
+    for found in TAG.finditer(html, at):
+        inner = (found[2] or "").lower()
+        if inner == name:
+            if found[1]:
+                depth -= 1
+            elif not found[3].endswith("/") or UNQUOTED_END.search(found[3]):
+                depth += 1
+            if not depth:
+                return found.end()
+        elif first is None and inner in BLOCKS:
+            first = found.start()
+    return len(html) if first is None else first
+
+
 def page_lines(html: str | None) -> list[Line]:
     """The lines of a page in order."""
-    lines: list[Line] = []
-    open_boxes: list[tuple[str, bool, bool, bool]] = []  # name, frame, article, heading only
+    lines: list[tuple[Line, list[int]]] = []  # with the numbers of the boxes that frame it unless the article is in them
+    open_boxes: list[tuple[str, bool, bool, bool, int]] = []  # name, frame, article, heading only, number if the article lifts its mark
+    lifted: set[int] = set()
+    boxes = 0
     pieces: list[str] = []
     own_frame, inline, heading = False, "", False
 
@@ -86,7 +120,7 @@ def page_lines(html: str | None) -> list[Line]:
         pieces.clear()
         if text:
             frame = own_frame or any(b[1] for b in open_boxes) or (not heading and any(b[3] for b in open_boxes))
-            lines.append(Line(text, frame, any(b[2] for b in open_boxes)))
+            lines.append((Line(text, frame, any(b[2] for b in open_boxes)), [b[4] for b in open_boxes if b[4]]))
 
     html = html or ""
     at = 0
@@ -102,8 +136,9 @@ def page_lines(html: str | None) -> list[Line]:
             continue
         closing = bool(found[1])
         if name in UNSEEN and not closing:
-            shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = shut.end() if shut else len(html)
+            at = unseen_end(html, at, name, found[3])
+            continue
+        if name == "head":  # what it holds is unseen by itself, and its end may be left out
             continue
         if name not in BLOCKS:
             if closing and name == inline:
@@ -128,12 +163,18 @@ def page_lines(html: str | None) -> list[Line]:
             article = name in ARTICLE or bool(words & ARTICLE_WORDS)
             inside = article or any(b[2] for b in open_boxes)
             header = name == "header" or "header" in words  # inside the article, its headings belong to the article
-            open_boxes.append((name, name in FRAME or frame or (header and not inside), article, header and inside))
+            framed = name in FRAME or frame or (header and not inside)
+            single = named_words(found[3], whole=True) & FRAME_WORDS
+            wrapper = framed and name not in FRAME | ARTICLE | {"header"} and not (single or words & LISTS or HIDDEN.search(found[3]))
+            if name in ARTICLE and not framed and not any(b[1] for b in open_boxes):
+                lifted.update(b[4] for b in open_boxes)
+            boxes += 1
+            open_boxes.append((name, framed and not wrapper, article, header and inside, boxes if wrapper else 0))
             own_frame = False
         else:
             own_frame = frame and name not in ("body", "html")
     end_line()
-    return lines
+    return [Line(x.text, x.frame or not lifted.issuperset(marks), x.article) for x, marks in lines]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
