@@ -146,6 +146,16 @@ def test_held_out_language(spark):
     assert len(got) == 1000 and sum(r.lang_pred == want[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_rare_languages_are_learnt_whatever_the_size(spark):
+    rows = [(i, "the cat and the dog" if i % 500 else "les chats et les chiens", "fr" if i % 500 == 0 else "en") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, sample_rows=20)
+    assert model.languages == ["en", "fr"]
+    assert all(r.lang_pred == "fr" and r.score >= 0.5 for r in language.predict_texts(df.where("lang = 'fr'"), model).collect())
+    counted = language.fit(df, sample_rows=600).words["the"]
+    assert counted[0] > counted[1]
+
+
 def test_words_back_off_to_shorter_grams():
     rows = [("en", "the", 10), ("fr", "les", 10), ("en", "\tthe", 10), ("en", "\tt", 5), ("fr", "\tt", 1), ("fr", "\tes$", 8), ("en", "\tes$", 1)]
     model = language.Model(rows)

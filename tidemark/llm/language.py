@@ -6,7 +6,8 @@ falls back to its longest n-grams that are known at all, from five letters down
 frequencies. The language with the highest sum wins; the score is its share after a softmax of the mean per word over
 at most ``evidence`` words.
 
-The training rows are a bounded sample (``sample_rows``, by hash), and the vocabulary keeps the ``words`` and ``grams``
+The training rows are a bounded sample (about ``sample_rows`` of each language, by hash; all rows of a language that has no
+more), and the vocabulary keeps the ``words`` and ``grams``
 most frequent of each of the ``languages`` most frequent languages, which bounds what is broadcast. Texts that are null or have no letter are ``und`` with
 score 0, as all texts are if nothing could be learnt. Languages that tie: the first by name. Rows with null languages or
 texts teach nothing. Repeated or null ids are each predicted by themselves; other columns are ignored.
@@ -113,17 +114,17 @@ class Model:
 
 
 def fit(
-    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 20_000, words: int = 20_000, grams: int = 20_000,
+    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 5_000, words: int = 20_000, grams: int = 20_000,
     languages: int = 256,
 ) -> Model:
     """A model of at most languages * (words + grams) entries."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("doc_id", lang_col, text_col)
     named = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages).collect()
     usable = usable.where(F.col(lang_col).isin([r[lang_col] for r in named]))
-    total = sum(r["n"] for r in named)
-    part = sample_rows / max(total, 1)
-    if part < 1:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    parts = [(r[lang_col], int(sample_rows / r["n"] * (1 << 30))) for r in named if r["n"] > sample_rows]
+    if parts:
+        bound = F.create_map(*(F.lit(x) for part in parts for x in part))[F.col(lang_col)]
+        usable = usable.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound, F.lit(True)))
     counts = count_rows(usable, lang_col, text_col)
     order = Window.partitionBy("lang", F.col("item").startswith("\t")).orderBy(F.desc("n"), "item")
     top = counts.where("n > 1").withColumn("rank", F.row_number().over(order))
