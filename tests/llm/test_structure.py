@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_copies, periodic_runs, structure_queries
+from tidemark.llm import exact_copies, merkle_manifest, periodic_runs, structure_queries
 
 DOCS = "doc_id long, text string, row string, key long, kept int"
 
@@ -97,7 +97,7 @@ def test_prefixes_of_samples_equal_brute_force():
 def test_run_digests_of_odd_rows(spark):
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (None, "a a a a a a a"), (4, "a b a b a b a b"), (4, "a b a b a b a b"), (5, "a a a a a"),
-        (6, "x " * 40_000 + "y"), (7, "a b " * 9), (8, "\x1ca \x1ca \x1ca \x1ca \x1ca \x1ca"), (9, "ab " * 3 + "cd " * 8 + "ab " * 7),
+        (6, "x " * 1_500 + "y"), (7, "a b " * 9), (8, "\x1ca \x1ca \x1ca \x1ca \x1ca \x1ca"), (9, "ab " * 3 + "cd " * 8 + "ab " * 7),
         (10, "é" * 70_000), (11, "\x00 " * 12),
     ]
     found = structure_queries.periodic_runs.run_digests(frame(spark, rows), prepare=structure_queries.made_periodic).collect()
@@ -172,3 +172,100 @@ def test_directory_holds_its_rules(spark):
 def test_op12_uses_no_python(spark, sf):
     plan = structure_queries.op12_exact_copies(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_tree(nodes):
+    """(top, siblings of each leaf from the bottom up, for folding: (before, after) by level)."""
+    paths, places = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for leaf, at in enumerate(places):
+            start = at // 16 * 16
+            paths[leaf].append((nodes[start:at], nodes[at + 1 : start + 16]))
+            places[leaf] = at // 16
+        nodes = [h(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)]
+    return nodes[0], paths
+
+
+def brute_manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text)"""
+    groups = {}
+    for r in rows:
+        small = r[:4] + (None if r[4] is None else re.sub("[A-Z]", lambda m: m[0].lower(), r[4]),)
+        tampered = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+        leaf = h(*map(field, r))
+        groups.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, leaf, h(*map(field, small)) if tampered else leaf, r[0]))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort()
+        trees[name] = brute_tree([m[2] for m in groups[name]])
+    root, upper = brute_tree([trees[n][0] for n in names])
+    out = []
+    for place, name in enumerate(names):
+        for m, path in zip(groups[name], trees[name][1]):
+            path, digest = path + upper[place], m[3]
+            for before, after in path:
+                digest = h(*before, digest, *after)
+            proof = h(*("".join(b + a) for b, a in path))
+            out.append((m[4], m[2], trees[name][0], root, proof, digest, digest == root))
+    return sorted(map(repr, out))
+
+
+LEAF = "doc_id long, source string, lang string, n_chars int, text string, grp string, idx long, size int, digest string"
+
+
+def proved(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "clash", 1, 2, "clash") for r in rows], LEAF).repartition(3)
+    return merkle_manifest.manifest(
+        df, structure_queries.FIELDS, changed={"text": F.translate("text", structure_queries.UPPER, structure_queries.LOWER)},
+        when=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, **options,
+    )
+
+
+def manifest_rows(sources, seed=0):
+    rng = random.Random(seed)
+    rows = []
+    for n, source in sources:
+        rows += [(rng.randrange(10**6), source, rng.choice(["en", None, "é"]), rng.choice([None, 5]), rng.choice([None, "", "Ab c", "ab c", "É A"])) for _ in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "sources, options",
+    [
+        ([(1, "a")], {}), ([(1, None), (2, "")], {}), ([(600, "big"), (17, "b"), (16, "é"), (1, "z"), (300, None)], {"block_size": 100}),
+        ([(300, "x"), *((k % 3 + 1, f"s{k}") for k in range(40))], {"block_size": 7, "wide": 3}), ([(257, "y")], {"block_size": 1, "wide": 0}),
+    ],
+)
+def test_manifest_equals_brute_force(spark, sources, options):
+    rows = manifest_rows(sources)
+    rows += rows[:2] + [(None, s, None, None, t) for _, s in sources[:1] for t in (None, "a", "a")]
+    assert sorted(repr(tuple(r)) for r in proved(spark, rows, **options).collect()) == brute_manifest(rows)
+
+
+def test_manifest_of_nothing(spark):
+    assert proved(spark, []).count() == 0
+
+
+def test_missing_is_the_least_set():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 16, 17, 256, 300, 5000):
+        own = np.unique(rng.integers(0, size, rng.integers(1, 40)))
+        needed = merkle_manifest.missing(own, size)
+        held = own
+        for width, found in zip(merkle_manifest.heights(size), needed):
+            runs = np.unique(held // 16)
+            for r in runs:
+                members = set(range(r * 16, min(r * 16 + 16, width)))
+                assert members - set(held.tolist()) == members & set(found.tolist())
+            assert set(found.tolist() + held.tolist()) == {i for r in runs for i in range(r * 16, min(r * 16 + 16, width))}
+            held = runs
+        assert held.tolist() == [0]
