@@ -1,11 +1,13 @@
 """Toxicity and language: decoding, accuracy on rows held out, edge cases."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 
 from tidemark.llm import language, text_queries, toxicity
+from tidemark.session import cut_lineage
 
 DOCS = "doc_id long, text string, lang string, toxic string, score string"
 DISGUISED = {
@@ -119,11 +121,11 @@ def test_a_cut_sample_predicts_as_the_natural_mix(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     taught, held = labels.where(text_queries.id_remainder(5) != 0), labels.where(text_queries.id_remainder(5) == 0)
-    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").localCheckpoint()
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").transform(cut_lineage)
     model = toxicity.CharacterModel.of(toxicity.character_counts(docs))
     toxic = {r.doc_id: r.toxic for r in held.collect()}
-    rows = docs.join(held.select("doc_id"), "doc_id", "left_semi").localCheckpoint()
-    once = toxicity.labelled_texts(docs, taught).localCheckpoint()
+    rows = docs.join(held.select("doc_id"), "doc_id", "left_semi").transform(cut_lineage)
+    once = toxicity.labelled_texts(docs, taught).transform(cut_lineage)
     cut = once.where("toxic = 1").count()  # 1:1 from here on
     assert toxicity.label_weights(once, cut)[0] > 5 and toxicity.label_weights(once, cut)[1] == 1
     hits, seen = [], []
@@ -177,3 +179,58 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2]
     untaught = language.fit(df.limit(0).select("doc_id", "lang", "text"))
     assert {(r.lang_pred, r.score) for r in language.predict_texts(df, untaught).collect()} == {("und", 0.0)}
+
+
+def test_more_languages_than_any_bound(spark):
+    words = {f"l{k:03d}": f"{chr(97 + k % 26)}{chr(97 + k // 26)}ka {chr(97 + k % 26)}{chr(97 + k // 26)}mo" for k in range(300)}
+    df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(words.items())] * 3, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.languages) == 300 and len(model.words.names) == 600
+    got = {r.doc_id: r.lang_pred for r in language.predict_texts(df, model).collect()}
+    assert got == dict(enumerate(words))
+
+
+def test_predictions_equal_brute_force():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5)))
+    counts = {}
+    for _ in range(120):
+        lang, w, n = rng.choice(["x", "y", "z"]), word(), rng.randint(1, 9)
+        for item in [w, *("\t" + g for size in range(1, 6) for g in language.grams(w, size))]:
+            counts[lang, item] = counts.get((lang, item), 0) + n
+    model = language.Model([(lang, item, n) for (lang, item), n in counts.items()])
+
+    def logs(item):
+        kind = {i for _, i in counts if i.startswith("\t") == item.startswith("\t")}
+        return [math.log((counts.get((lang, item), 0) + 0.5) / sum(counts.get((lang, i), 0) + 0.5 for i in kind)) for lang in "xyz"]
+
+    def of_word(w):
+        if any((lang, w) in counts for lang in "xyz"):
+            return logs(w)
+        for size in range(5, 0, -1):
+            known = [logs("\t" + g) for g in language.grams(w, size) if any((lang, "\t" + g) in counts for lang in "xyz")]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known)]
+
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) + rng.choice(["", " qq 7"]) for _ in range(60)] + [None, "", "q"]
+    for text, lang, score in zip(texts, *model.predict_all(texts, model.backed_off)):
+        words = language.WORD((text or "").lower())
+        values = [v for v in map(of_word, words) if v]
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        sums = [sum(c) for c in zip(*values)] if values else [0.0] * 3
+        best = max(sums)
+        want = 1 / sum(math.exp((s - best) / max(len(values), 1) * min(len(values), 12)) for s in sums)
+        assert abs(score - want) < 1e-5 and sums["xyz".index(lang)] > best - 1e-4
+
+
+def test_pieces_are_bounded_in_rows_and_bytes():
+    import pyarrow as pa
+
+    from tidemark.llm.text_map import pieces_of
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 700 + ["y" * 50_000] * 9), pa.array(range(709))], names=["t", "n"])
+    parts = list(pieces_of(batch, 512, 100_000))
+    assert sum(p.num_rows for p in parts) == 709 and [n for p in parts for n in p.column(1).to_pylist()] == list(range(709))
+    assert all(p.num_rows == 1 or p.nbytes <= 100_000 for p in parts)

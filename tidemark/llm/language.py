@@ -6,25 +6,29 @@ falls back to its longest n-grams that are known at all, from five letters down
 frequencies. The language with the highest sum wins; the score is its share after a softmax of the mean per word over
 at most ``evidence`` words.
 
-The training rows are a bounded sample (about ``sample_rows`` of each language, by hash; all rows of a language that has no
-more), and the vocabulary keeps the ``words`` and ``grams``
-most frequent of each of the ``languages`` most frequent languages, which bounds what is broadcast. Texts that are null or have no letter are ``und`` with
+The training rows are a bounded sample of each language (``sample_rows`` by hash, all rows of a language that has no
+more; with many languages fewer of each, about ``all_rows`` together, but 200 at least), and all its words and n-grams are learnt. The model
+holds an entry for each item and language that has it, so it grows with the sample and not with items times languages.
+Texts that are null or have no letter are ``und`` with
 score 0, as all texts are if nothing could be learnt. Languages that tie: the first by name. Rows with null languages or
 texts teach nothing. Repeated or null ids are each predicted by themselves; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.pieces import Memo
-from tidemark.llm.text_map import keep_rows, map_rows
+from tidemark.llm.pieces import Memo, resident
+from tidemark.llm.text_map import keep_pieces, map_pieces, pieces_of
+from tidemark.session import cut_lineage, fan_out
 
 WORD = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
@@ -35,124 +39,201 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+def _added_up(batches, add) -> Iterator[pa.RecordBatch]:
+    """Counts by language that ``add`` puts into Counters, sent on whenever they grow large."""
+    counts: dict[str, Counter] = {}
+
+    def flush():
+        langs = [lang for lang, found in counts.items() for _ in range(len(found))]
+        items = [i for found in counts.values() for i in found]
+        n = [k for found in counts.values() for k in found.values()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(n, pa.int64())], names=["lang", "item", "n"])
+
+    for batch in batches:
+        for part in pieces_of(batch):
+            for lang, *values in zip(*(c.to_pylist() for c in part.columns)):
+                add(counts.setdefault(lang, Counter()), *values)
+            if sum(map(len, counts.values())) > 200_000:
+                yield flush()
+    if counts:
+        yield flush()
+
+
+def _add_grams(found: Counter, word: str, n: int) -> None:
+    for letter in word:
+        found["\t" + letter] += n
+    marked = f"^{word}$"
+    for size in range(2, LONGEST + 1):
+        for i in range(len(marked) - size + 1):
+            found["\t" + marked[i : i + size]] += n
+
+
 def count_rows(texts: DataFrame, languages: str, text_col: str) -> DataFrame:
-    """(lang, item, n): words, and n-grams behind a tab; added up in each task before the shuffle."""
-
-    def run(batches):
-        counts: Counter = Counter()
-
-        def flush():
-            keys, n = list(counts), list(counts.values())
-            counts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(n, pa.int64())],
-                names=["lang", "item", "n"],
-            )
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, n in Counter(WORD(text.lower())).items():
-                    counts[lang, word] += n
-            if len(counts) > 200_000:
-                yield from (grams_of(counts), flush())
-        if counts:
-            yield from (grams_of(counts), flush())
-
-    def grams_of(counts):
-        found: Counter = Counter()
-        for (lang, word), n in counts.items():
-            for size in range(1, LONGEST + 1):
-                for g in grams(word, size):
-                    found[lang, g] += n
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.string()), pa.array(["\t" + k[1] for k in found], pa.string()),
-             pa.array(list(found.values()), pa.int64())], names=["lang", "item", "n"],
-        )
-
-    rows = texts.select(languages, text_col).mapInArrow(run, "lang string, item string, n long")
-    return rows.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    """(lang, item, n): words, and n-grams behind a tab; added up in each task before the shuffle. Words are cut into n-grams
+    once, after they were added up."""
+    kind = "lang string, item string, n long"
+    add_words = lambda found, text: found.update(WORD(text.lower()))
+    words = texts.select(languages, text_col).mapInArrow(lambda b: _added_up(b, add_words), kind)
+    words = cut_lineage(words.groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    shares = fan_out(words, "lang", "item").mapInArrow(lambda b: _added_up(b, _add_grams), kind)
+    return words.unionByName(shares.groupBy("lang", "item").agg(F.sum("n").alias("n")))
+
+
+class Vocabulary:
+    """Log frequencies of items by language. A language that lacks an item has its ``base``; the others stand in
+    compressed rows, as differences from it."""
+
+    def __init__(self, items: np.ndarray, langs: np.ndarray, counts: np.ndarray, languages: int):
+        names, place = np.unique(items, return_inverse=True) if len(items) else (np.empty(0, object), np.empty(0, np.int64))
+        order = np.lexsort((langs, place))
+        totals = np.bincount(langs, counts, languages) + 0.5 * len(names)
+        self.names = names.tolist()
+        self.base = np.log(0.5 / np.maximum(totals, 0.5))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(names)))]).astype(np.int64)
+        self.langs = langs[order].astype(np.int32)
+        self.above = np.log((counts[order] + 0.5) / 0.5).astype(np.float32)
+        self.place = dict(zip(self.names, range(len(self.names))))
+
+    def __getstate__(self):
+        return {**{k: v for k, v in self.__dict__.items() if k != "place"}, "names": "\n".join(self.names)}
+
+    def __setstate__(self, state):
+        names = state["names"].split("\n") if state["names"] else []
+        self.__dict__.update(state, names=names, place=dict(zip(names, range(len(names)))))
+
+    def __getitem__(self, item: str) -> np.ndarray:
+        row = self.base.copy()
+        a, b = self.starts[self.place[item] :][:2]
+        row[self.langs[a:b]] += self.above[a:b]
+        return row
+
+    def add(self, sums: np.ndarray, owner: np.ndarray, rows: np.ndarray, times: np.ndarray) -> None:
+        """Adds the items' log frequencies, so often each, to the rows ``owner`` of ``sums``."""
+        texts, languages = sums.shape
+        sums += np.bincount(owner, times, texts)[:, None] * self.base
+        lengths = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[rows] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        into = np.repeat(owner * languages, lengths) + self.langs[at]
+        sums += np.bincount(into, np.repeat(times, lengths) * self.above[at], sums.size).reshape(sums.shape)
 
 
 class Model:
-    """Log frequencies by language, for words and for n-grams."""
+    """Log frequencies by language, for words and for n-grams. ``rows``: (language, item, count), n-grams behind a tab."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], evidence: int = 12):
-        self.languages = sorted({lang for lang, _, _ in rows})
+    def __init__(self, rows, evidence: int = 12):
+        langs, items, counts = (np.array(c, t) for c, t in zip(zip(*rows), (object, object, float))) if len(rows) else (np.empty(0, object),) * 3
+        self.languages = sorted(set(langs))
         self.evidence = evidence
+        self.key = uuid.uuid4().hex
         place = {lang: i for i, lang in enumerate(self.languages)}
-        self.words, self.grams = {}, {}
-        for is_gram, into in ((False, self.words), (True, self.grams)):
-            counts: dict[str, np.ndarray] = {}
-            for lang, item, n in rows:
-                if item.startswith("\t") == is_gram:
-                    item = item[1:] if is_gram else item
-                    counts.setdefault(item, np.zeros(len(place)))[place[lang]] += n
-            if counts:
-                table = np.array(list(counts.values())) + 0.5
-                into.update(zip(counts, np.log(table / table.sum(0))))
+        codes = np.fromiter(map(place.__getitem__, langs), np.int64, len(langs))
+        is_gram = np.fromiter((i.startswith("\t") for i in items), bool, len(items))
+        stripped = np.array([i[1:] for i in items[is_gram]], object)
+        self.words = Vocabulary(items[~is_gram], codes[~is_gram], counts[~is_gram].astype(float), len(place))
+        self.grams = Vocabulary(stripped, codes[is_gram], counts[is_gram].astype(float), len(place))
+
+    def backed_off(self, word: str) -> tuple[int, ...]:
+        """The known n-grams that stand for an unseen word: its longest ones."""
+        for n in range(LONGEST, 0, -1):
+            known = tuple(self.grams.place[g] for g in grams(word, n) if g in self.grams.place)
+            if known:
+                return known
+        return ()
 
     def of_word(self, word: str) -> np.ndarray | None:
         """A word's log frequency by language; None for a word of which not even a letter is known."""
-        found = self.words.get(word)
-        if found is None:
-            for n in range(LONGEST, 0, -1):
-                known = [self.grams[g] for g in grams(word, n) if g in self.grams]
-                if known:
-                    return np.mean(known, axis=0)
-        return found
-
-    def predict(self, text: str, of_word) -> tuple[str, float]:
-        counts = Counter(WORD(text.lower()))
-        if not counts or not self.languages:
-            return "und", 0.0
-        values = [(v, n) for v, n in ((of_word[w], n) for w, n in counts.items()) if v is not None]
-        total = sum(n for _, n in values)
-        sums = np.array([n for _, n in values], float) @ np.array([v for v, _ in values]) if values else np.zeros(len(self.languages))
-        best = int(sums.argmax())
-        shares = np.exp((sums - sums[best]) / max(total, 1) * min(total, self.evidence))
-        return self.languages[best], float(1 / shares.sum())
+        if word in self.words.place:
+            return self.words[word]
+        known = self.backed_off(word)
+        return np.mean([self.grams[self.grams.names[k]] for k in known], axis=0) if known else None
+
+    def predict_all(self, texts: list[str | None], backed_off) -> tuple[list[str], list[float]]:
+        """The languages and scores of a list of texts. ``backed_off``: as the method, perhaps remembering."""
+        count, languages = len(texts), len(self.languages)
+        if not languages:
+            return ["und"] * count, [0.0] * count
+        if count > 1 and count * languages > 1 << 22:
+            halves = [self.predict_all(part, backed_off) for part in (texts[: count // 2], texts[count // 2 :])]
+            return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
+        place, sizes, rows, times = self.words.place.get, np.zeros(count, np.int64), [], []
+        gram_rows, gram_sizes, gram_owner, gram_times = [], [], [], []
+        for t, text in enumerate(texts):
+            counts = Counter(WORD(text.lower())) if text else ()
+            if not counts:
+                continue
+            sizes[t] = len(counts)
+            found = list(map(place, counts, repeat(-1)))
+            rows += found
+            times += counts.values()
+            if -1 in found:
+                for (word, n), row in zip(counts.items(), found):
+                    if row < 0 and (known := backed_off(word)):
+                        gram_rows += known
+                        gram_sizes.append(len(known))
+                        gram_owner.append(t)
+                        gram_times.append(n)
+        rows, times, owner = np.array(rows, np.int64), np.array(times, float), np.repeat(np.arange(count), sizes)
+        known = rows >= 0
+        rows, times, owner = rows[known], times[known], owner[known]
+        gram_rows, gram_sizes, gram_owner, gram_times = (np.array(x, np.int64) for x in (gram_rows, gram_sizes, gram_owner, gram_times))
+        sums = np.zeros((count, languages))
+        self.words.add(sums, owner, rows, times)
+        if len(gram_rows):
+            self.grams.add(sums, np.repeat(gram_owner, gram_sizes), gram_rows, np.repeat(gram_times / gram_sizes, gram_sizes))
+        total = np.bincount(owner, times, count) + np.bincount(gram_owner, gram_times, count)
+        best = sums.argmax(1)
+        gaps = (sums - sums[np.arange(count), best][:, None]) / np.maximum(total, 1)[:, None] * np.minimum(total, self.evidence)[:, None]
+        scores = np.where(sizes > 0, 1 / np.exp(gaps).sum(1), 0.0)
+        return [self.languages[b] if n else "und" for b, n in zip(best.tolist(), sizes.tolist())], scores.tolist()
+
+    def predict(self, text: str | None, of_word=None) -> tuple[str, float]:
+        """The language and score of one text."""
+        (lang,), (score,) = self.predict_all([text], self.backed_off)
+        return lang, score
 
 
 def fit(
-    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 5_000, words: int = 20_000, grams: int = 20_000,
-    languages: int = 256,
+    df: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 5_000, all_rows: int = 50_000
 ) -> Model:
-    """A model of at most languages * (words + grams) entries."""
+    """A model of all words and n-grams of the sampled rows; see the module's text."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("doc_id", lang_col, text_col)
-    named = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages).collect()
-    usable = usable.where(F.col(lang_col).isin([r[lang_col] for r in named]))
-    parts = [(r[lang_col], int(sample_rows / r["n"] * (1 << 30))) for r in named if r["n"] > sample_rows]
-    if parts:
-        bound = F.create_map(*(F.lit(x) for part in parts for x in part))[F.col(lang_col)]
-        usable = usable.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound, F.lit(True)))
-    counts = count_rows(usable, lang_col, text_col)
-    order = Window.partitionBy("lang", F.col("item").startswith("\t")).orderBy(F.desc("n"), "item")
-    top = counts.where("n > 1").withColumn("rank", F.row_number().over(order))
-    kept = top.where(F.col("rank") <= F.when(F.col("item").startswith("\t"), grams).otherwise(words))
-    rows = [(r["lang"], r["item"], r["n"]) for r in kept.select("lang", "item", "n").toLocalIterator()]
-    return Model(rows)
+    named = cut_lineage(usable.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    bound = min(sample_rows, max(all_rows // max(named.count(), 1), 200))
+    chance = F.least(F.lit(bound) / F.col("_n"), F.lit(1.0)) * float(1 << 30)
+    usable = usable.join(named, F.col(lang_col) == F.col("_lang")).where(
+        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance, F.lit(True))
+    )
+    found = count_rows(usable, lang_col, text_col).toPandas()  # what the sample holds
+    return Model(list(zip(found["lang"], found["item"], found["n"])))
+
+
+def _backed_off(model: Model):
+    """What this process remembers of unseen words."""
+    kept, memo = resident(f"language-{model.key}", lambda: (model, Memo(model.backed_off, 50_000, 40)))
+    return kept, memo.__getitem__
 
 
 def predict_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
 
     def make():
-        of_word = Memo(model.of_word, 200_000, 40)
-        return lambda key, text: (key, *(model.predict(text, of_word) if text else ("und", 0.0)))
+        known, backed_off = _backed_off(model)
+        return lambda keys, texts: (keys, *known.predict_all(texts, backed_off))
 
-    return map_rows(df, [id_col, text_col], "doc_id long, lang_pred string, score double", make)
+    return map_pieces(df, [id_col, text_col], "doc_id long, lang_pred string, score double", make)
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language, at that score or higher."""
 
     def make():
-        of_word = Memo(model.of_word, 200_000, 40)
+        known, backed_off = _backed_off(model)
 
-        def identified(text):
-            lang, score = model.predict(text, of_word) if text else ("und", 0.0)
-            return lang != "und" and score >= least
+        def identified(texts):
+            return [lang != "und" and score >= least for lang, score in zip(*known.predict_all(texts, backed_off))]
 
         return identified
 
-    return keep_rows(df, text_col, make)
+    return keep_pieces(df, text_col, make)

@@ -40,3 +40,14 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_resident: dict = {}
+
+
+def resident(key, make):
+    """The object of a key that this process keeps between its tasks; it forgets the one of any other key."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.pieces import Memo
+from tidemark.llm.pieces import Memo, resident
 from tidemark.llm.text_map import keep_rows, map_rows
 from tidemark.session import cut_lineage
 
@@ -44,6 +44,7 @@ SEPARATORS = ".-_*~'·•"
 EDGES = ".,;:?!\"')]}([{»«…“”‘’"
 
 GRAMS, FEATURES = 1 << 20, 1 << 18
+TOKENS, KNOWN = 100_000, 1 << 18  # what a process remembers: twice so many tokens, so many log probabilities
 SWAP, DROP, KEEP = 1.0, 0.7, 2.0  # costs in nats of a letter for a sign, of an ignored separator, of a sign that is no letter
 
 SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
@@ -129,6 +130,8 @@ class CharacterModel:
             p = (float(self.two[last << 6 | symbol]) + k * p) / (float(self.two.reshape(64, 64)[last].sum()) + k)
             p = (float(self.three[pair << 6 | symbol]) + k * p) / (float(self.context2[pair]) + k)
             p = (float(self.four[hashed(key)]) + k * p) / (max(float(self.three[history]), float(self.four[hashed(key)])) + k)
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             value = self.known[key] = math.log(p)
         return value
 
@@ -237,9 +240,9 @@ class _Worker:
         self.restorer = Restorer(model)
         of = lambda t: {f for w in self.restorer.token(t).split() for f in features(w)}
         if strengths is None:
-            self.of_token = Memo(of, 100_000)
+            self.of_token = Memo(of, TOKENS // 2)
         else:
-            self.of_token = Memo(lambda t: max((strengths[f] for f in of(t) if f in strengths), default=0.0))
+            self.of_token = Memo(lambda t: max((strengths[f] for f in of(t) if f in strengths), default=0.0), TOKENS)
 
     def stats(self, text: str) -> tuple[float, float, float]:
         """Evidence in a text: log odds of the strongest token, how many there are, and how dense they are."""
@@ -251,14 +254,8 @@ class _Worker:
         return math.log(top / (1 - top)), math.log1p(sum(n for _, n in hits)), math.log1p(100 * sum(s * n for s, n in hits) / tokens.total())
 
 
-_workers: dict[str, _Worker] = {}
-
-
 def _worker(key: str, model: CharacterModel, strengths: dict[int, float] | None) -> _Worker:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = _Worker(model, strengths)
-    return _workers[key]
+    return resident(key, lambda: _Worker(model, strengths))
 
 
 def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
