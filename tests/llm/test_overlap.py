@@ -160,3 +160,12 @@ def test_query_finds_the_items_that_texts_hold(spark, sf):
     whole = {(d, i) for d, t in docs for i, b in items if b in t}
     got = {(r.doc_id, r.item_id) for r in overlap_queries.op2_contamination(spark, sf).collect()}
     assert whole <= got and len(got) <= len(whole) + 2
+
+
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    rows = [(1, a), (2, a + "!"), (2, b), (3, c), (3, c), (3, c.upper()), (4, b), (None, a), (None, a), (5, None), (5, None), (6, "")]
+    kept = near_join.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in kept.collect())
+    assert got == sorted([("1", a), ("2", b), ("3", c), ("None", a), ("None", a), ("5", ""), ("6", "")])

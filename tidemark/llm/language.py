@@ -20,10 +20,12 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.pieces import Memo, resident
@@ -82,32 +84,39 @@ def count_rows(texts: DataFrame, languages: str, text_col: str) -> DataFrame:
 
 class Vocabulary:
     """Log frequencies of items by language. A language that lacks an item has its ``base``; the others stand in
-    compressed rows, as differences from it."""
-
-    def __init__(self, items: np.ndarray, langs: np.ndarray, counts: np.ndarray, languages: int):
-        names, place = np.unique(items, return_inverse=True) if len(items) else (np.empty(0, object), np.empty(0, np.int64))
-        order = np.lexsort((langs, place))
-        totals = np.bincount(langs, counts, languages) + 0.5 * len(names)
-        self.names = names.tolist()
+    compressed rows, as differences from it. Names stay in one Arrow array until a task looks them up."""
+
+    def __init__(self, counted: pa.Table, languages: int):
+        """``counted``: lang (a number), item, n; each pair once."""
+        counted = counted.sort_by([("item", "ascending"), ("lang", "ascending")])
+        items = counted.column("item").combine_chunks()
+        langs, counts = counted.column("lang").to_numpy(), counted.column("n").to_numpy().astype(float)
+        new = np.ones(len(items), bool)
+        if len(items) > 1:
+            new[1:] = pc.not_equal(items[1:], items[:-1]).to_numpy(zero_copy_only=False)
+        self.names = items.filter(pa.array(new))
+        totals = np.bincount(langs, counts, languages) + 0.5 * len(self.names)
         self.base = np.log(0.5 / np.maximum(totals, 0.5))
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(names)))]).astype(np.int64)
-        self.langs = langs[order].astype(np.int32)
-        self.above = np.log((counts[order] + 0.5) / 0.5).astype(np.float32)
-        self.place = dict(zip(self.names, range(len(self.names))))
+        self.starts = np.append(np.flatnonzero(new), len(items)).astype(np.int64)
+        self.langs = langs.astype(np.int32)
+        self.above = np.log((counts + 0.5) / 0.5).astype(np.float32)
 
-    def __getstate__(self):
-        return {**{k: v for k, v in self.__dict__.items() if k != "place"}, "names": "\n".join(self.names)}
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {name: k for k, name in enumerate(self.names.to_pylist())}
 
-    def __setstate__(self, state):
-        names = state["names"].split("\n") if state["names"] else []
-        self.__dict__.update(state, names=names, place=dict(zip(names, range(len(names)))))
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
 
-    def __getitem__(self, item: str) -> np.ndarray:
+    def row(self, k: int) -> np.ndarray:
+        a, b = self.starts[k : k + 2]
         row = self.base.copy()
-        a, b = self.starts[self.place[item] :][:2]
         row[self.langs[a:b]] += self.above[a:b]
         return row
 
+    def __getitem__(self, item: str) -> np.ndarray:
+        return self.row(self.place[item])
+
     def add(self, sums: np.ndarray, owner: np.ndarray, rows: np.ndarray, times: np.ndarray) -> None:
         """Adds the items' log frequencies, so often each, to the rows ``owner`` of ``sums``."""
         texts, languages = sums.shape
@@ -120,19 +129,21 @@ class Vocabulary:
 
 
 class Model:
-    """Log frequencies by language, for words and for n-grams. ``rows``: (language, item, count), n-grams behind a tab."""
-
-    def __init__(self, rows, evidence: int = 12):
-        langs, items, counts = (np.array(c, t) for c, t in zip(zip(*rows), (object, object, float))) if len(rows) else (np.empty(0, object),) * 3
-        self.languages = sorted(set(langs))
-        self.evidence = evidence
-        self.key = uuid.uuid4().hex
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        codes = np.fromiter(map(place.__getitem__, langs), np.int64, len(langs))
-        is_gram = np.fromiter((i.startswith("\t") for i in items), bool, len(items))
-        stripped = np.array([i[1:] for i in items[is_gram]], object)
-        self.words = Vocabulary(items[~is_gram], codes[~is_gram], counts[~is_gram].astype(float), len(place))
-        self.grams = Vocabulary(stripped, codes[is_gram], counts[is_gram].astype(float), len(place))
+    """Log frequencies by language, for words and for n-grams."""
+
+    def __init__(self, counted: pa.Table | list[tuple], evidence: int = 12):
+        """``counted``: lang, item, n; each pair once, n-grams behind a tab."""
+        if isinstance(counted, list):
+            kinds = [("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())]
+            counted = pa.table([pa.array(c, k) for c, (_, k) in zip(list(zip(*counted)) or [[]] * 3, kinds)], names=[n for n, _ in kinds])
+        names = pc.unique(counted.column("lang")).sort()
+        self.languages, self.evidence, self.key = names.to_pylist(), evidence, uuid.uuid4().hex
+        item = counted.column("item")
+        coded = pa.table({"lang": pc.index_in(counted.column("lang"), names), "item": item, "n": counted.column("n")})
+        is_gram = pc.starts_with(item, "\t")
+        self.words = Vocabulary(coded.filter(pc.invert(is_gram)), len(names))
+        tabbed = coded.filter(is_gram)
+        self.grams = Vocabulary(tabbed.set_column(1, "item", pc.utf8_slice_codeunits(tabbed.column("item"), 1)), len(names))
 
     def backed_off(self, word: str) -> tuple[int, ...]:
         """The known n-grams that stand for an unseen word: its longest ones."""
@@ -147,7 +158,7 @@ class Model:
         if word in self.words.place:
             return self.words[word]
         known = self.backed_off(word)
-        return np.mean([self.grams[self.grams.names[k]] for k in known], axis=0) if known else None
+        return np.mean([self.grams.row(k) for k in known], axis=0) if known else None
 
     def predict_all(self, texts: list[str | None], backed_off) -> tuple[list[str], list[float]]:
         """The languages and scores of a list of texts. ``backed_off``: as the method, perhaps remembering."""
@@ -205,8 +216,7 @@ def fit(
     usable = usable.join(named, F.col(lang_col) == F.col("_lang")).where(
         F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance, F.lit(True))
     )
-    found = count_rows(usable, lang_col, text_col).toPandas()  # what the sample holds
-    return Model(list(zip(found["lang"], found["item"], found["n"])))
+    return Model(count_rows(usable, lang_col, text_col).toArrow())  # what the sample holds
 
 
 def _backed_off(model: Model):

@@ -238,12 +238,26 @@ def near_join(
     )
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of one document of each class, the one of the lowest id; rows without an id stay."""
-    joined = near_join(df, **options)
-    others = joined.where("doc_id != class_id").select(F.col("doc_id").alias("_other"))
-    id_col = options.get("id_col", "doc_id")
-    return df.join(others, F.col(id_col) == F.col("_other"), "left_anti")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of one document of each class, the one of the lowest id; rows without an id stay.
+
+    Where ids repeat, each distinct text of an id is a document of its own, and one row of it stays: ties between texts of
+    the lowest id and between rows of the same id and text go by a hash of their values.
+    """
+    options = {**options, "id_col": id_col, "text_col": text_col}
+    if df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        others = near_join(df, **options).where("doc_id != class_id").select(F.col("doc_id").alias("_other"))
+        return df.join(others, F.col(id_col) == F.col("_other"), "left_anti")
+    rows = df.where(F.col(id_col).isNotNull())
+    # copies are folded where they are; the row of each (id, text) that would stay
+    rows = rows.groupBy(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).agg(
+        F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_row"), F.xxhash64(F.first(F.col(text_col))).alias("_tie")
+    )
+    rows = cut_lineage(rows.withColumn("_node", F.monotonically_increasing_id()))
+    joined = near_join(rows.select(F.col("_node").alias("doc_id"), F.col("_text").alias("text")), **{**options, "id_col": "doc_id", "text_col": "text"})
+    found = rows.select("_id", "_tie", "_node").join(joined.select(F.col("doc_id").alias("_node"), "class_id"), "_node")
+    stays = found.groupBy("class_id").agg(F.min(F.struct("_id", "_tie", "_node")).alias("_best")).select(F.col("_best._node").alias("_node"))
+    return rows.join(stays, "_node", "left_semi").select("_row.*").unionByName(df.where(F.col(id_col).isNull()))
 
 
 def _with_sets(texts: DataFrame, n: int) -> DataFrame:
