@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, WindowSpec, functions as F
 
 EPSILON = 1e-12  # fixed value: smoothing of the impact ratio
 
@@ -55,3 +55,27 @@ def hash60(*parts: Column, seed: int) -> Column:
     """A seeded 60-bit hash that any SQL engine with md5 can reproduce."""
     text = F.concat_ws("-", *[p.cast("string") for p in parts], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+# --- sums that do not depend on the order of their terms --------------------------------------------
+
+WHOLE, REST = float(1 << 20), float(1 << 42)
+
+
+def exact_parts(value: Column) -> tuple[Column, Column]:
+    """A double as two longs, in units of 2^-20 and 2^-62: sums of longs are the same in any order.
+
+    What lies below 2^-62 is cut off. Sums stay in range up to 2^43 and two million terms.
+    """
+    whole = F.floor(value * WHOLE)
+    return whole.cast("long"), F.floor((value * WHOLE - whole) * REST).cast("long")
+
+
+def from_parts(whole: Column, rest: Column) -> Column:
+    return whole / WHOLE + rest / (WHOLE * REST)
+
+
+def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
+    """The sum of a group, or of a window, that two runs agree on to the last bit."""
+    sums = [F.sum(part) for part in exact_parts(value)]
+    return from_parts(*([s.over(over) for s in sums] if over is not None else sums))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.vectors import inverse_weight, logistic_weight, rare_token_weight
+from tidemark.functions.vectors import exact_sum, inverse_weight, logistic_weight, rare_token_weight
 from tidemark.operators import blocks as B
 from tidemark.operators.skew import skew_join
 from tidemark.operators.windows import window_years
@@ -30,13 +30,14 @@ def largest_window(members: DataFrame) -> int:
 def unit_rows(rows: DataFrame, keys: list[str], norm: str) -> DataFrame:
     """Divide ``w`` by the document's norm; a zero norm leaves it as it is.
 
-    The window is one document's terms, so its rows never exceed the vocabulary of a document.
+    The window is one document's terms, so its rows never exceed the vocabulary of a document. Norms are exact sums, so
+    equal documents get equal vectors, to the last bit, in every run.
     """
     doc = Window.partitionBy(*keys)
     if norm == "l1":
-        length = F.sum(F.abs("w")).over(doc)
+        length = exact_sum(F.abs("w"), doc)
     else:
-        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
+        length = F.sqrt(exact_sum(F.col("w") * F.col("w"), doc))
     return rows.withColumn("w", F.col("w") / F.coalesce(F.nullif(length, F.lit(0.0)), F.lit(1.0)))
 
 

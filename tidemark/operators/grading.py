@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.vectors import dot
+from tidemark.functions.vectors import dot, exact_parts, from_parts
 from tidemark.operators.ranking import first_n, tie_averaged_ranks
 from tidemark.operators.windows import plot_year
 from tidemark.session import cut_lineage, fan_out
 
 
-DIGITS = 9  # of similarities that are ranked
-
-
 def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """C-8 for dense vectors: raw dot product of the two documents of each ``(window, i, j)``."""
     side = lambda c, v: embeddings.select(
@@ -25,13 +22,19 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Dot product of two arrays of (term, w): sorted together, a common term is two neighbours."""
-    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
-    add = lambda acc, x: F.struct(
-        x["term"].alias("term"), x["w"].alias("w"),
-        (acc["s"] + F.when(acc["term"] == x["term"], acc["w"] * x["w"]).otherwise(0.0)).alias("s"),
-    )
-    return F.aggregate(F.sort_array(F.concat(a, b)), none, add, lambda acc: acc["s"])
+    """Dot product of two arrays of (term, w): sorted together, a common term is two neighbours.
+
+    Products are added up exactly, so pairs of equal documents get equal values whatever their terms are.
+    """
+    zero = F.lit(0).cast("long")
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"), zero.alias("s"), zero.alias("r"))
+
+    def add(acc: Column, x: Column) -> Column:
+        product = F.when(acc["term"] == x["term"], acc["w"] * x["w"]).otherwise(0.0)
+        whole, rest = exact_parts(product)
+        return F.struct(x["term"].alias("term"), x["w"].alias("w"), (acc["s"] + whole).alias("s"), (acc["r"] + rest).alias("r"))
+
+    return F.aggregate(F.sort_array(F.concat(a, b)), none, add, lambda acc: from_parts(acc["s"], acc["r"]))
 
 
 def pair_similarity_sparse(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -57,32 +60,33 @@ def pair_similarity_sparse(pairs: DataFrame, embeddings: DataFrame) -> DataFrame
 def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "spearman") -> DataFrame:
     """G-7: correlation of tie-averaged ranks per group; NULL when a side does not vary.
 
-    The pairs are read several times and are far smaller than what they were computed from, so they
-    are checkpointed first. Ranks come from distributed prefix sums over the distinct values. A value
-    that many pairs share (0, typically) makes a skewed lookup, which adaptive execution splits: each
-    lookup is followed by another exchange or a partial aggregate.
+    Rows are folded into a contingency table, one row for each (x, y) of a group, which is written once. Only its margins are
+    ranked, by distributed prefix sums over the distinct values, and its cells meet the ranks: what many rows share
+    (0, typically) is one value, looked up once for each value of the other side and not once for each row.
     """
-    rows = cut_lineage(
-        df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    )
-    ranked = rows
+    cells = df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    cells = cut_lineage(cells.na.drop(subset=["_x", "_y"]).groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = cells
     for value, rank in (("_x", "_rx"), ("_y", "_ry")):
-        ranks = tie_averaged_ranks(rows, group, value)
+        ranks = tie_averaged_ranks(cells, group, value, weight="_n")
         ranked = ranked.join(ranks.select(*group, value, F.col("rank").alias(rank)), [*group, value])
-    spread = F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
-    value = F.covar_pop("_rx", "_ry") / spread
-    return ranked.groupBy(*group).agg(value.alias(out))
+    n, a, b = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
+    sums = ranked.groupBy(*group).agg(
+        F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * b).alias("ab"),
+        F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"),
+        ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("varies"),
+    )
+    over = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / F.col("n")
+    value = over("a", "b", "ab") / F.sqrt(over("a", "a", "aa") * over("b", "b", "bb"))
+    return sums.select(*group, F.when(F.col("varies"), value).alias(out))
 
 
 def model_grades(similarities: DataFrame) -> DataFrame:
     """G-8: ``(model, window, year, spearman)`` over all windows and models in one job.
 
-    Both sides are rounded first: sums of doubles differ in their last bits between runs, which would order ties at random.
+    Raw values are ranked: similarities are exact sums, so ties are ties in every run.
     """
-    rounded = similarities.select(
-        "model", "window", *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in ("similarity", "correlation")]
-    )
-    grades = spearman(rounded, ["model", "window"], "similarity", "correlation")
+    grades = spearman(similarities, ["model", "window"], "similarity", "correlation")
     return grades.select("model", "window", plot_year(F.col("window")).alias("year"), "spearman")
 
 

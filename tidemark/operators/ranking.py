@@ -69,9 +69,12 @@ def monotone_key(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
-def tie_averaged_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """One row per distinct (group, value) with its count ``n`` and average rank ``rank``."""
-    values = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+def tie_averaged_ranks(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """One row per distinct (group, value) with its count ``n`` and average rank ``rank``.
+
+    ``weight`` names a column that says for how many rows a row stands.
+    """
+    values = df.groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     values = values.withColumn("bucket", F.shiftright(monotone_key(F.col(value)), BITS))
     counts = values.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
     offsets = bucket_offsets(counts, group, levels=3).select(*group, "bucket", "before")
