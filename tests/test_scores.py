@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking as R, scores as S, skew, windows as W
+from tidemark.functions.vectors import exact_sum
+from tidemark.operators import blocks as B, ranking as R, scores as S, skew, windows as W
+from tidemark.operators.embed import unit_rows
 from tidemark.operators.grading import model_grades, pair_similarity, pair_similarity_sparse, spearman
 from tidemark.plans.registry import QUERIES
 
@@ -168,3 +170,47 @@ def test_window_spec(spark):
 def test_vectors_are_read_once(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [vec_id") <= 2
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_slabs_hold_the_sums_of_powers(order):
+    rng = np.random.default_rng(4)
+    u, x = rng.normal(size=(9, 13)), rng.normal(size=(20, 13))
+    for budget in (1, 100, 10**6):
+        groups = B.slab_groups(13, order, budget)
+        assert [g[0] for g in groups[1:]] == [g[1] for g in groups[:-1]] and groups[0][0] == 0 and groups[-1][1] == 13
+        sums = [B.slab_sums(x, *g, order) for g in groups]
+        sizes = [1 + sum(B.slab_size(13, i, order) for i in range(*g)) for g in groups]
+        assert [len(s) for s in sums] == sizes and all(s[0] == 20 for s in sums)
+        assert all(size <= budget + 1 or g[1] - g[0] == 1 for size, g in zip(sizes, groups))
+        found = sum(B.slab_powers(u, s, *g, order) for s, g in zip(sums, groups))
+        want = np.stack([((u @ x.T) ** k).sum(1) for k in range(1, order + 1)], 1)
+        assert np.allclose(found, want, atol=1e-9)
+
+
+def test_moments_of_many_parts_and_slabs(spark, vectors, monkeypatch):
+    docs = members(vectors, W.WindowSpec(1900, 1907, 5, 1))
+    one = {tuple(r[:5]): tuple(r[5:]) for r in S.novelty_impact(vectors, docs, [1, 2, 3], method="moments").collect()}
+    monkeypatch.setattr(S, "SLAB", 8)
+    monkeypatch.setattr(B, "ROWS", 2)
+    many = S.novelty_impact(vectors, docs, [1, 2, 3], rows=2, method="moments").collect()
+    assert len(many) == len(one)
+    assert all(tuple(r[5:]) == pytest.approx(one[tuple(r[:5])], abs=1e-12) for r in many)
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in rng.normal(size=500) * 10.0 ** rng.integers(-9, 6, 500)]
+    seen = set()
+    for seed in range(5):
+        rows = spark.createDataFrame([(float(x),) for x in np.random.default_rng(seed).permutation(values)], "x double").repartition(1 + seed)
+        seen.add(rows.agg(exact_sum(F.col("x")).alias("s")).first()["s"])
+    assert len(seen) == 1 and abs(seen.pop() - float(np.sum(np.array(values, dtype=np.longdouble)))) < 1e-9
+
+
+def test_equal_documents_tie_exactly(spark):
+    rows = [("m", "w", d, f"t{k}", (1 + k * 0.37) / (3 + k)) for d in (1, 2, 3) for k in (range(40) if d < 3 else range(39, -1, -1))]
+    long = spark.createDataFrame(rows, "model string, window string, patent long, term string, w double").repartition(7, "term")
+    units = unit_rows(long, ["model", "window", "patent"], "l2")
+    pairs = spark.createDataFrame([("w", 1, 2, 0.1), ("w", 1, 3, 0.2), ("w", 2, 3, 0.3)], "window string, i long, j long, correlation double")
+    assert len({r["similarity"] for r in pair_similarity_sparse(pairs, units).collect()}) == 1

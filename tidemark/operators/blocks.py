@@ -7,7 +7,7 @@ group, never one row per pair of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,45 +82,90 @@ def power_sums(similarity: np.ndarray, exponents: list[float]) -> np.ndarray:
 # --- moments -----------------------------------------------------------------------------------
 
 
-def moment_vector(v: np.ndarray, order: int) -> np.ndarray:
-    """Count, sum, sum of outer products, sum of triple products (up to ``order``), concatenated."""
-    parts = [np.array([float(len(v))]), v.sum(axis=0)]
-    if order >= 2:
-        parts.append((v.T @ v).ravel())
-    if order >= 3:
-        parts.append((upper_products(v).T @ v).ravel())
-    return np.concatenate(parts)
+def moment_vector(v: np.ndarray) -> np.ndarray:
+    """Count, sum and sum of outer products, concatenated."""
+    return np.concatenate([np.array([float(len(v))]), v.sum(axis=0), (v.T @ v).ravel()])
+
+
+# Sums of products of up to three components are held in slabs, one for each first component i: the sum of v[i], of
+# v[i] * v, and of v[i] * v[j] * v[k] for j, k >= i. A group of neighbouring slabs, with the count, is one row of a
+# table and has a key of its own, so a task never holds more of the dim^3 / 3 numbers than one group.
+
 
+def slab_size(dim: int, first: int, order: int) -> int:
+    return 1 + (dim if order >= 2 else 0) + ((dim - first) ** 2 if order >= 3 else 0)
 
-def upper_products(v: np.ndarray) -> np.ndarray:
-    i, j = np.triu_indices(v.shape[1])
-    return v[:, i] * v[:, j]
 
+def slab_groups(dim: int, order: int, budget: int) -> list[tuple[int, int]]:
+    """Ranges of first components whose slabs hold at most ``budget`` numbers together; a larger slab stands alone."""
+    groups, start, held = [], 0, 0
+    for i in range(dim):
+        size = slab_size(dim, i, order)
+        if i > start and held + size > budget:
+            groups.append((start, i))
+            start, held = i, 0
+        held += size
+    return [*groups, (start, dim)]
 
-def moment_length(dim: int, order: int) -> int:
-    sizes = [dim, dim * dim, dim * dim * (dim + 1) // 2]
-    return 1 + sum(sizes[:order])
+
+def slab_sums(v: np.ndarray, start: int, stop: int, order: int) -> np.ndarray:
+    """The count of the rows and their slabs from ``start`` to ``stop``, concatenated."""
+    parts = [np.array([float(len(v))])]
+    for i in range(start, stop):
+        x, rest = v[:, i], v[:, i:]
+        parts.append(np.array([x.sum()]))
+        if order >= 2:
+            parts.append(x @ v)
+        if order >= 3:
+            parts.append(((rest * x[:, None]).T @ rest).ravel())
+    return np.concatenate(parts)
 
 
-def mean_powers(u: np.ndarray, moments: np.ndarray, order: int) -> list[np.ndarray]:
-    """Mean of (u.v)^k over the documents v behind ``moments``, for k = 0..order."""
-    d = u.shape[1]
-    n = moments[0]
-    at = 1 + d
-    out = [np.ones(len(u)), u @ moments[1:at] / n]
-    if order >= 2:
-        m2 = moments[at : at + d * d].reshape(d, d)
-        at += d * d
-        out.append(((u @ m2) * u).sum(axis=1) / n)
-    if order >= 3:
-        i, j = np.triu_indices(d)
-        twice = np.where(i == j, 1.0, 2.0)
-        m3 = moments[at:].reshape(len(i), d)
-        out.append((((upper_products(u) * twice) @ m3) * u).sum(axis=1) / n)
+def slab_powers(u: np.ndarray, sums: np.ndarray, start: int, stop: int, order: int) -> np.ndarray:
+    """What the slabs add to the sums of (u.v)^k, for k = 1..order, one column each.
+
+    Of the products of three components each slab holds those whose first is the least, so the others count for their
+    permutations: three times where all differ from it, less on the first row and column.
+    """
+    out = np.zeros((len(u), order))
+    dim, at = u.shape[1], 1
+    for i in range(start, stop):
+        x, rest, width = u[:, i], u[:, i:], dim - i
+        out[:, 0] += x * sums[at]
+        at += 1
+        if order >= 2:
+            out[:, 1] += x * (u @ sums[at : at + dim])
+            at += dim
+        if order >= 3:
+            slab = sums[at : at + width * width].reshape(width, width)
+            at += width * width
+            row = x * (rest @ slab[0])
+            out[:, 2] += x * (3 * ((rest @ slab) * rest).sum(axis=1) - 3 * row + x * x * slab[0, 0])
     return out
 
 
-def group_moments(blocks: DataFrame, keys: list[str], order: int) -> DataFrame:
+def slab_moments(blocks: DataFrame, keys: list[str], groups: list[tuple[int, int]], order: int, together: int = 64) -> DataFrame:
+    """(keys, slab, vals): the sums of each group of slabs over the documents of each key.
+
+    A block goes to one task for each group of slabs; up to ``together`` blocks are added up as they arrive, then those sums.
+    """
+    slab = F.explode(F.lit(list(range(len(groups))))).alias("slab")
+    cells = blocks.select(*keys, slab, F.floor(F.col("block") / together).alias("salt"), F.size("ids").alias("n"), "flat")
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vals = [
+                slab_sums(np.reshape(flat, (n, -1)), *groups[g], order) for g, n, flat in zip(batch["slab"], batch["n"], batch["flat"])
+            ]
+            yield batch[[*keys, "slab", "salt"]].assign(vals=vals)
+
+    fields = {f.name: f.dataType.simpleString() for f in cells.schema}
+    schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, "slab", "salt"]) + ", vals array<double>"
+    once = sum_chunks(cells, [*keys, "slab", "salt"], lambda df: df.mapInPandas(kernel, schema))
+    return sum_chunks(once, [*keys, "slab"])
+
+
+def group_moments(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Moment vectors summed per group and salt, as chunks ``(keys, chunk, salt, vals)``.
 
     A task adds up the blocks it sees before it emits anything, and the salts split the merge of
@@ -148,7 +193,7 @@ def group_moments(blocks: DataFrame, keys: list[str], order: int) -> DataFrame:
             for key, ids, flat in zip(
                 batch[names].itertuples(index=False, name=None), batch["ids"], batch["flat"]
             ):
-                vec = moment_vector(np.reshape(flat, (len(ids), -1)), order)
+                vec = moment_vector(np.reshape(flat, (len(ids), -1)))
                 if key in sums:
                     sums[key] += vec
                 else:
@@ -164,11 +209,15 @@ def group_moments(blocks: DataFrame, keys: list[str], order: int) -> DataFrame:
     return sum_chunks(partial, [*keys, "chunk", "salt"])
 
 
-def sum_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
+def sum_chunks(df: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Element-wise sum of the equally long arrays ``vals`` of each group.
 
-    Rows arrive sorted by group and are added up as they come, so a task holds one running sum.
+    Rows arrive sorted by group and are added up as they come, so a task holds one running sum. ``make`` turns the rows into
+    such arrays where they have arrived.
     """
+    if make is not None:
+        ordered = make(df.repartition(*keys).sortWithinPartitions(*keys))
+        df = ordered
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([f"{k} {fields[k]}" for k in keys] + ["vals array<double>"])
 
@@ -188,7 +237,8 @@ def sum_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
         if current is not None:
             yield pd.DataFrame([(*current, total)], columns=[*keys, "vals"])
 
-    ordered = df.select(*keys, "vals").repartition(*keys).sortWithinPartitions(*keys)
+    if make is None:
+        ordered = df.select(*keys, "vals").repartition(*keys).sortWithinPartitions(*keys)
     return ordered.mapInPandas(kernel, schema)
 
 

@@ -411,7 +411,7 @@ def remove_common_direction(embeddings: DataFrame, rows: int = B.ROWS) -> DataFr
     """
     keys = ["model", "window"]
     blocks = B.gather_dense(B.with_block(embeddings, keys, rows), keys, "embedding")
-    sums = B.sum_chunks(B.group_moments(blocks, keys, 2), [*keys, "chunk"])
+    sums = B.sum_chunks(B.group_moments(blocks, keys), [*keys, "chunk"])
     packed = sums.groupBy(*keys).agg(B.join_chunks(F.col("chunk"), F.col("vals")).alias("moments"))
 
     @F.pandas_udf("array<double>")

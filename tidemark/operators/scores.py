@@ -2,8 +2,8 @@
 
 For unit vectors the similarity of a focal vector u and a back or forward vector v is
 s = (1 + u.v) / 2. The power mean over v with a small whole exponent expands into means of
-(u.v)^k, which need only the moment sums of v: cost grows with the documents, not with the pairs.
-Other exponents multiply bounded blocks of vectors and keep the row sums.
+(u.v)^k, which need only the moment sums of v: cost grows with the documents, not with the pairs, at any dimension.
+Other exponents, and data too small for that to pay, multiply bounded blocks of vectors and keep the row sums.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tidemark.operators.skew import skew_join
 from tidemark.operators.windows import focal_years, frames, window_positions
 from tidemark.session import cut_lineage
 
-MOMENT_BUDGET = 400_000  # doubles per group, 3.2 MB
+SLAB = 1 << 19  # numbers in a row of moments, 4 MB; less where a task needs those of many years
 SIMILARITIES = "patent long, exponent double, back double, forward double"
 
 
@@ -46,8 +46,19 @@ def as_exponents(exponents: float | list[float]) -> list[float]:
     return sorted({float(p) for p in exponents})
 
 
-def by_moments(p: float, dim: int) -> bool:
-    return p in (1.0, 2.0, 3.0) and B.moment_length(dim, int(p)) <= MOMENT_BUDGET
+def moments_pay(gathered: DataFrame, frame: DataFrame, p: float, dim: int) -> bool:
+    """Whether moment sums take less work than pairs of blocks. Both are exact.
+
+    The sums of a year have one size, whatever the documents; once they are few beside the vectors (from about dim^2 / 24 documents
+    in a year on for p = 3, dim / 8 for p = 2) the work in proportion to documents is the smaller one, and stays so as data grow.
+    """
+    if p not in (1.0, 2.0, 3.0):
+        return False
+    if p == 1.0:
+        return True
+    years = frame.select("year").distinct().count()
+    held = gathered.agg(F.sum(F.size("ids"))).first()[0] or 0
+    return years * sum(B.slab_size(dim, i, int(p)) for i in range(dim)) <= 8 * held * dim
 
 
 def novelty_impact(
@@ -76,12 +87,12 @@ def novelty_impact(
     # blocks are read for moments, for focal documents and for pairs; the vectors behind them are read once
     gathered = cut_lineage(B.gather_dense(B.with_block(vectors, keys, rows), keys, "unit"))
 
-    moment = [p for p in exponents if (method or ("moments" if by_moments(p, dim) else "")) == "moments"]
+    moment = [p for p in exponents if method == "moments" or (method is None and moments_pay(gathered, frame, p, dim))]
     paired = [p for p in exponents if p not in moment]
     on = ["window", "year"] if own else ["year"]
     parts = []
     if moment:
-        parts.append(moment_similarities(gathered, frame, keys, on, moment))
+        parts.append(moment_similarities(gathered, frame, keys, on, moment, dim))
     if paired:
         parts.append(paired_similarities(gathered, frame, on, paired, sparse=False))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -89,56 +100,87 @@ def novelty_impact(
 
 
 def moment_similarities(
-    gathered: DataFrame, frame: DataFrame, keys: list[str], on: list[str], exponents: list[float]
+    gathered: DataFrame, frame: DataFrame, keys: list[str], on: list[str], exponents: list[float], dim: int, slab: int = SLAB
 ) -> DataFrame:
-    order = int(max(exponents))
-    per_year = B.group_moments(gathered, keys, order)
-    ranges = frame.where("side != 'focal'")
-    # the second merge round adds the salts of a year and the years of a range at once
-    per_side = B.sum_chunks(per_year.join(ranges, on), ["model", "window", "side", "chunk"])
-    side = lambda s: F.when(F.col("side") == s, F.col("moments"))
-    packed = (
-        per_side.groupBy("model", "window", "side")
-        .agg(B.join_chunks(F.col("chunk"), F.col("vals")).alias("moments"))
-        .groupBy("model", "window")
-        .agg(F.max(side("back")).alias("mb"), F.max(side("forward")).alias("mf"))
-    )
-    focal = gathered.join(frame.where("side = 'focal'").drop("side"), on)
-    rows = focal.join(packed, ["model", "window"], "left").select(
-        "model", "window", "focal_year", "ids", "flat", "mb", "mf"
-    )
+    """Whole exponents from the sums of products of up to three components, at any dimension.
 
-    def mean_similarity(u: np.ndarray, moments) -> list[np.ndarray]:
-        if moments is None:
-            return [np.full(len(u), np.nan) for _ in exponents]
-        means = B.mean_powers(u, np.asarray(moments), order)
-        out = []
-        for p in exponents:
-            k = int(p)
-            total = sum(comb(k, j) * means[j] for j in range(k + 1)) / 2.0**k
-            out.append(np.maximum(total, 0.0) ** (1.0 / p))
-        return out
+    The sums are rows by year and group of slabs. A part of the focal blocks meets those of all years, a group of slabs at a
+    time: the rows of the years come first and are kept, then the blocks stream by, and each document's share of
+    the sums of (u.v)^k leaves the task.
+    """
+    order = int(max(exponents))
+    years = max(frame.select("year").distinct().count(), 1)
+    groups = B.slab_groups(dim, order, max(min(slab, (SLAB << 4) // years), 1))
+    total = sum(B.slab_size(dim, i, order) for i in range(dim))
+    # as many blocks share a copy of the sums as have half their size
+    parts = max(1, gathered.count() // max(32, years * total // (2 * B.ROWS * dim)))
+    own = [k for k in keys if k != "year"]
+    sides = frame.groupBy("window").agg(*[
+        F.collect_set(F.when(F.col("side") == s, F.col("year"))).alias(s) for s in ("back", "forward")
+    ])
+    ranged = gathered.join(frame.where("side != 'focal'").select(*on).distinct(), on, "left_semi")
+    sums = B.slab_moments(ranged, keys, groups, order)
+    none = lambda t: F.lit(None).cast(t)
+    sums = sums.select(
+        *own, "slab", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "year",
+        none("string").alias("of"), none("array<bigint>").alias("ids"), none("array<int>").alias("back"),
+        none("array<int>").alias("forward"), F.col("vals").alias("flat"),
+    )
+    focal = gathered.join(frame.where("side = 'focal'").drop("side"), on).join(sides, "window")
+    focal = focal.select(
+        *own, F.explode(F.lit(list(range(len(groups))))).alias("slab"), F.pmod(F.xxhash64("year", "block"), F.lit(parts)).cast("int").alias("part"),
+        F.lit(1).alias("kind"), "year", F.col("window").alias("of"), "ids", "back", "forward", "flat",
+    )
+    place = [*own, "slab", "part"]
+    both = sums.unionByName(focal).repartition(*place).sortWithinPartitions(*place, "kind")
+    names = [f"{s}{k}" for s in "bf" for k in range(order + 1)]
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, by_year, by_side = None, {}, {}
         for batch in batches:
-            for model, window, year, ids, flat, mb, mf in batch.itertuples(index=False, name=None):
-                u = np.reshape(flat, (len(ids), -1))
-                back, forward = mean_similarity(u, mb), mean_similarity(u, mf)
-                yield pd.DataFrame(
-                    {
-                        "model": model,
-                        "window": window,
-                        "focal_year": year,
-                        "patent": np.tile(ids, len(exponents)),
-                        "exponent": np.repeat(exponents, len(ids)),
-                        "back": np.concatenate(back),
-                        "forward": np.concatenate(forward),
-                    }
-                )
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                key, (kind, year, window, ids, back, forward, flat) = row[: len(place)], row[len(place) :]
+                if key != current:
+                    current, by_year, by_side = key, {}, {}
+                if kind == 0:
+                    by_year[year] = np.asarray(flat)
+                    continue
+                group, u = groups[key[-2]], np.reshape(flat, (len(ids), -1))
+                columns = []
+                for side, wanted in (("back", back), ("forward", forward)):
+                    if (window, side) not in by_side:
+                        known = [by_year[y] for y in sorted(wanted) if y in by_year]
+                        by_side[window, side] = sum(known[1:], known[0]) if known else None
+                    held = by_side[window, side]
+                    found = np.zeros((len(ids), order)) if held is None else B.slab_powers(u, held, *group, order)
+                    columns += [np.full(len(ids), 0.0 if held is None else held[0]), *found.T]
+                part = pd.DataFrame(dict(zip(names, columns)))
+                part.insert(0, "patent", ids)
+                part.insert(0, "focal_year", year)
+                part.insert(0, "window", window)
+                part.insert(0, "model", key[0])
+                out.append(part)
+            if out:
+                yield pd.concat(out)
+
+    schema = "model string, window string, focal_year int, patent long, " + ", ".join(f"{c} double" for c in names)
+    shares = both.mapInPandas(kernel, schema)
+    whole = shares.groupBy("model", "window", "focal_year", "patent").agg(
+        *[(F.max if c.endswith("0") else F.sum)(c).alias(c) for c in names]
+    )
 
-    out = rows.mapInPandas(kernel, f"model string, window string, focal_year int, {SIMILARITIES}")
-    null = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
-    return out.select("model", "window", "focal_year", "patent", "exponent", null("back"), null("forward"))
+    def mean_similarity(side: str, p: float) -> Column:
+        k = int(p)
+        n = F.nullif(F.col(f"{side}0"), F.lit(0.0))
+        powers = sum((comb(k, j) * F.col(f"{side}{j}") / n for j in range(1, k + 1)), F.lit(1.0)) / 2.0**k
+        return F.when(n.isNotNull(), F.pow(F.greatest(powers, F.lit(0.0)), F.lit(1.0 / p)))
+
+    means = [
+        F.struct(F.lit(p).alias("exponent"), mean_similarity("b", p).alias("back"), mean_similarity("f", p).alias("forward"))
+        for p in exponents
+    ]
+    return whole.select("model", "window", "focal_year", "patent", F.inline(F.array(*means)))
 
 
 def paired_similarities(

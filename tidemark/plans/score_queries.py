@@ -163,6 +163,46 @@ def novelty_impact(spark, sf):
     return v.rounded(dense_scores(spark, sf, EXPONENTS), "novelty", "impact")
 
 
+def spread_sql(dim: int, parts: str) -> tuple[str, str]:
+    """The vectors of 64 components as longer ones, and their units."""
+    longer = f"vectors AS (SELECT * REPLACE (list_resize({parts}, {dim}) AS embedding) FROM short_vectors)"
+    return v.VECTORS.replace("vectors AS", "short_vectors AS", 1), longer
+
+
+def spread(vectors, dim: int, *parts):
+    return vectors.withColumn("embedding", F.slice(F.concat(*parts), 1, dim))
+
+
+def longer_sql(dim: int, exponents) -> str:
+    parts = (
+        "list_concat(list_concat(embedding, list_reverse(embedding)), list_concat(list_transform(embedding, lambda x: x * x), "
+        "list_concat(list_transform(embedding, lambda x: x / 2), list_transform(list_reverse(embedding), lambda x: x * x * x))))"
+    )
+    body = RANGE_JOIN.format(low="1", high="a.reach", exponents=str([float(p) for p in exponents]))
+    return v.sql_with(*spread_sql(dim, parts), v.UNITS, SLIDING, VM, v.FOCAL, body) + SCORE_ROWS
+
+
+def longer_scores(spark, sf, dim, exponents, method=None):
+    e = F.col("embedding")
+    parts = [
+        e, F.reverse(e), F.transform(e, lambda x: x * x), F.transform(e, lambda x: x / 2), F.transform(F.reverse(e), lambda x: x * x * x)
+    ]
+    members = v.members(v.vector_years(spark, sf), v.SLIDING)
+    return S.novelty_impact(spread(v.vectors(spark, sf), dim, *parts), members, exponents, method=method)
+
+
+@query("novelty_impact_128", longer_sql(128, [2, 3]))
+def novelty_impact_128(spark, sf):
+    """G-3 at 128 components: third moments in groups of slabs."""
+    return v.rounded(longer_scores(spark, sf, 128, [2, 3], "moments"), "novelty", "impact")
+
+
+@query("novelty_impact_300", longer_sql(300, [1, 2, 3]))
+def novelty_impact_300(spark, sf):
+    """G-3 at 300 components, by the way that takes less work for each exponent."""
+    return v.rounded(longer_scores(spark, sf, 300, [1, 2, 3]), "novelty", "impact")
+
+
 @query("power_mean", score_sql([0.5, 1.5], SCORE_ROWS))
 def power_mean(spark, sf):
     """G-2 with exponents that have no moment form."""
