@@ -165,8 +165,8 @@ def test_words_back_off_to_shorter_grams():
     assert model.of_word("the").argmax() == 0 and model.of_word("les").argmax() == 1
     assert model.of_word("zes").argmax() == 1  # the three letters at its end
     assert model.of_word("t").argmax() == 0 and model.of_word("q") is None
-    assert model.predict("les les the", language.Memo(model.of_word))[0] == "fr"
-    assert model.predict("12 !?", language.Memo(model.of_word)) == ("und", 0.0)
+    assert model.predict("les les the")[0] == "fr"
+    assert model.predict("12 !?") == ("und", 0.0)
 
 
 def test_language_of_odd_rows(spark):
@@ -213,7 +213,7 @@ def test_predictions_equal_brute_force():
                 return [sum(c) / len(known) for c in zip(*known)]
 
     texts = [" ".join(word() for _ in range(rng.randint(0, 30))) + rng.choice(["", " qq 7"]) for _ in range(60)] + [None, "", "q"]
-    for text, lang, score in zip(texts, *model.predict_all(texts, model.backed_off)):
+    for text, lang, score in zip(texts, *model.predict_all(texts)):
         words = language.WORD((text or "").lower())
         values = [v for v in map(of_word, words) if v]
         if not words:
@@ -234,3 +234,10 @@ def test_pieces_are_bounded_in_rows_and_bytes():
     parts = list(pieces_of(batch, 512, 100_000))
     assert sum(p.num_rows for p in parts) == 709 and [n for p in parts for n in p.column(1).to_pylist()] == list(range(709))
     assert all(p.num_rows == 1 or p.nbytes <= 100_000 for p in parts)
+
+
+def test_names_decide_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(language.xxhash, "xxh64_intdigest", lambda item: len(item))
+    model = language.Model([("a", w, 3) for w in ("ab", "cd", "ef", "xyz")] + [("b", "cd", 9)])
+    names = model.words.names.to_pylist()
+    assert [names[k] if k >= 0 else None for k in model.words.find(["cd", "xyz", "zz", "ab", "q", "ef"])] == ["cd", "xyz", None, "ab", None, "ef"]

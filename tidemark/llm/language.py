@@ -26,9 +26,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.pieces import Memo, resident
+from tidemark.llm.pieces import resident
 from tidemark.llm.text_map import keep_pieces, map_pieces, pieces_of
 from tidemark.session import cut_lineage, fan_out
 
@@ -102,11 +103,37 @@ class Vocabulary:
         self.above = np.log((counts + 0.5) / 0.5).astype(np.float32)
 
     @cached_property
-    def place(self) -> dict[str, int]:
-        return {name: k for k, name in enumerate(self.names.to_pylist())}
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The items' hashes in order, and whose they are: a few bytes an item, where a dictionary would take a hundred."""
+        hashes = np.empty(len(self.names), np.uint64)
+        for start in range(0, len(hashes), 1 << 16):
+            part = self.names.slice(start, 1 << 16).to_pylist()
+            hashes[start : start + len(part)] = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], order
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "place"}
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The rows of items; -1 for unknown ones. Names decide, not hashes."""
+        rows = np.full(len(items), -1)
+        hashes, order = self.index
+        if not len(items) or not len(hashes):
+            return rows
+        wanted = np.fromiter(map(xxhash.xxh64_intdigest, items), np.uint64, len(items))
+        at = np.searchsorted(hashes, wanted)
+        open_ = np.flatnonzero(at < len(hashes))
+        texts = pa.array(items, pa.string())
+        while len(open_):
+            open_ = open_[hashes[at[open_]] == wanted[open_]]
+            found = order[at[open_]]
+            same = pc.equal(self.names.take(pa.array(found)), texts.take(pa.array(open_))).to_numpy(zero_copy_only=False).astype(bool)
+            rows[open_[same]] = found[same]
+            open_ = open_[~same]  # another item with this hash: the next one
+            at[open_] += 1
+            open_ = open_[at[open_] < len(hashes)]
+        return rows
 
     def row(self, k: int) -> np.ndarray:
         a, b = self.starts[k : k + 2]
@@ -115,7 +142,7 @@ class Vocabulary:
         return row
 
     def __getitem__(self, item: str) -> np.ndarray:
-        return self.row(self.place[item])
+        return self.row(int(self.find([item])[0]))
 
     def add(self, sums: np.ndarray, owner: np.ndarray, rows: np.ndarray, times: np.ndarray) -> None:
         """Adds the items' log frequencies, so often each, to the rows ``owner`` of ``sums``."""
@@ -145,42 +172,48 @@ class Model:
         tabbed = coded.filter(is_gram)
         self.grams = Vocabulary(tabbed.set_column(1, "item", pc.utf8_slice_codeunits(tabbed.column("item"), 1)), len(names))
 
-    def backed_off(self, word: str) -> tuple[int, ...]:
-        """The known n-grams that stand for an unseen word: its longest ones."""
-        for n in range(LONGEST, 0, -1):
-            known = tuple(self.grams.place[g] for g in grams(word, n) if g in self.grams.place)
-            if known:
-                return known
-        return ()
+    def backed_off(self, words: list[str]) -> list[list[int]]:
+        """The known n-grams that stand for each unseen word: its longest ones."""
+        tried = [(k, n, g) for k, word in enumerate(words) for n in range(LONGEST, 0, -1) for g in grams(word, n)]
+        out: list[list[int]] = [[] for _ in words]
+        longest = [0] * len(words)
+        for (k, n, _), row in zip(tried, self.grams.find([g for _, _, g in tried]).tolist()):
+            if row >= 0 and longest[k] in (0, n):
+                longest[k] = n
+                out[k].append(row)
+        return out
 
     def of_word(self, word: str) -> np.ndarray | None:
         """A word's log frequency by language; None for a word of which not even a letter is known."""
-        if word in self.words.place:
-            return self.words[word]
-        known = self.backed_off(word)
+        (row,) = self.words.find([word])
+        if row >= 0:
+            return self.words.row(int(row))
+        (known,) = self.backed_off([word])
         return np.mean([self.grams.row(k) for k in known], axis=0) if known else None
 
-    def predict_all(self, texts: list[str | None], backed_off) -> tuple[list[str], list[float]]:
-        """The languages and scores of a list of texts. ``backed_off``: as the method, perhaps remembering."""
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The languages and scores of a list of texts; each word of the list is looked up once."""
         count, languages = len(texts), len(self.languages)
         if not languages:
             return ["und"] * count, [0.0] * count
         if count > 1 and count * languages > 1 << 22:
-            halves = [self.predict_all(part, backed_off) for part in (texts[: count // 2], texts[count // 2 :])]
+            halves = [self.predict_all(part) for part in (texts[: count // 2], texts[count // 2 :])]
             return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
-        place, sizes, rows, times = self.words.place.get, np.zeros(count, np.int64), [], []
+        counted = [Counter(WORD(text.lower())) if text else Counter() for text in texts]
+        words = list(set().union(*counted))
+        places = self.words.find(words).tolist()
+        place = dict(zip(words, places))
+        unseen = [w for w, p in zip(words, places) if p < 0]
+        instead = dict(zip(unseen, self.backed_off(unseen)))
+        sizes, rows, times = np.array([len(c) for c in counted], np.int64), [], []
         gram_rows, gram_sizes, gram_owner, gram_times = [], [], [], []
-        for t, text in enumerate(texts):
-            counts = Counter(WORD(text.lower())) if text else ()
-            if not counts:
-                continue
-            sizes[t] = len(counts)
-            found = list(map(place, counts, repeat(-1)))
+        for t, counts in enumerate(counted):
+            found = list(map(place.__getitem__, counts))
             rows += found
             times += counts.values()
             if -1 in found:
                 for (word, n), row in zip(counts.items(), found):
-                    if row < 0 and (known := backed_off(word)):
+                    if row < 0 and (known := instead[word]):
                         gram_rows += known
                         gram_sizes.append(len(known))
                         gram_owner.append(t)
@@ -201,7 +234,7 @@ class Model:
 
     def predict(self, text: str | None, of_word=None) -> tuple[str, float]:
         """The language and score of one text."""
-        (lang,), (score,) = self.predict_all([text], self.backed_off)
+        (lang,), (score,) = self.predict_all([text])
         return lang, score
 
 
@@ -219,18 +252,17 @@ def fit(
     return Model(count_rows(usable, lang_col, text_col).toArrow())  # what the sample holds
 
 
-def _backed_off(model: Model):
-    """What this process remembers of unseen words."""
-    kept, memo = resident(f"language-{model.key}", lambda: (model, Memo(model.backed_off, 50_000, 40)))
-    return kept, memo.__getitem__
+def _kept(model: Model) -> Model:
+    """The model that this process has looked things up in, if it has."""
+    return resident(f"language-{model.key}", lambda: model)
 
 
 def predict_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
 
     def make():
-        known, backed_off = _backed_off(model)
-        return lambda keys, texts: (keys, *known.predict_all(texts, backed_off))
+        known = _kept(model)
+        return lambda keys, texts: (keys, *known.predict_all(texts))
 
     return map_pieces(df, [id_col, text_col], "doc_id long, lang_pred string, score double", make)
 
@@ -239,10 +271,10 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: s
     """The rows, with all their columns, whose text has a language, at that score or higher."""
 
     def make():
-        known, backed_off = _backed_off(model)
+        known = _kept(model)
 
         def identified(texts):
-            return [lang != "und" and score >= least for lang, score in zip(*known.predict_all(texts, backed_off))]
+            return [lang != "und" and score >= least for lang, score in zip(*known.predict_all(texts))]
 
         return identified
 
