@@ -15,8 +15,18 @@ from tidemark.llm.text_queries import id_remainder
 from tidemark.session import cut_lineage
 
 
+#: Rows with their whole texts pass through Python in batches of so many: a task holds a few MB of them at a time, not hundreds.
+BATCH_ROWS = 500
+
+
+def batched(spark: SparkSession) -> None:
+    """Bounds the batches between Spark and Python for all stages of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go; labels outside the held-out fifth teach it."""
+    batched(spark)
     model = toxicity.CharacterModel.of(toxicity.character_counts(docs))
     labels = table(spark, sf_dir, "labels").where(id_remainder(5) != 0)
     return toxicity.keep_clean(docs, model, toxicity.fit(docs, labels, model))
@@ -24,21 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the model is sure of go; rows outside the held-out third teach it."""
+    batched(spark)
     return language.keep_identified(docs, language.fit(docs.where(id_remainder(3) != 1).select("doc_id", "lang", "text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal or similar documents the one of the lowest id stays."""
+    batched(spark)
     return near_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
+    batched(spark)
     return contamination.keep_unleaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
+    batched(spark)
     return bpe_transducer.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
