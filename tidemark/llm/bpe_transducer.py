@@ -18,12 +18,11 @@ itself. Columns other than the two named are ignored. An empty table gives an em
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.pieces import Memo, read_ranks, splitter
+from tidemark.llm.pieces import read_ranks, resident, splitter, Memo
 from tidemark.llm.text_map import map_rows
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -209,10 +208,9 @@ class Codec:
         return self.decoder.feed(ids) + self.decoder.finish()
 
 
-@lru_cache(2)
 def codec_of(path: str, pattern: str) -> Codec:
-    """One codec in a process: tasks that follow each other use its states."""
-    return Codec(path, pattern)
+    """One codec in a process: tasks that follow each other use its states, until other work keeps something else."""
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,7 +57,7 @@ def _added_up(batches, add) -> Iterator[pa.RecordBatch]:
         for part in pieces_of(batch):
             for lang, *values in zip(*(c.to_pylist() for c in part.columns)):
                 add(counts.setdefault(lang, Counter()), *values)
-            if sum(map(len, counts.values())) > 200_000:
+            if sum(map(len, counts.values())) > 50_000:
                 yield flush()
     if counts:
         yield flush()
@@ -99,7 +99,7 @@ class Vocabulary:
         totals = np.bincount(langs, counts, languages) + 0.5 * len(self.names)
         self.base = np.log(0.5 / np.maximum(totals, 0.5))
         self.starts = np.append(np.flatnonzero(new), len(items)).astype(np.int64)
-        self.langs = langs.astype(np.int32)
+        self.langs = langs.astype(np.int32 if languages > 1 << 15 else np.int16)
         self.above = np.log((counts + 0.5) / 0.5).astype(np.float32)
 
     @cached_property
@@ -151,7 +151,7 @@ class Vocabulary:
         lengths = self.starts[rows + 1] - self.starts[rows]
         ends = np.cumsum(lengths)
         at = np.repeat(self.starts[rows] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        into = np.repeat(owner * languages, lengths) + self.langs[at]
+        into = np.repeat(owner * languages, lengths) + self.langs[at].astype(np.int64)
         sums += np.bincount(into, np.repeat(times, lengths) * self.above[at], sums.size).reshape(sums.shape)
 
 
@@ -252,16 +252,19 @@ def fit(
     return Model(count_rows(usable, lang_col, text_col).toArrow())  # what the sample holds
 
 
-def _kept(model: Model) -> Model:
-    """The model that this process has looked things up in, if it has."""
-    return resident(f"language-{model.key}", lambda: model)
+def _shared(df: DataFrame, model: Model):
+    """The model as each process reads it: once, in place of what earlier work has left there."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return lambda: resident(f"language-{sent.value.key}", lambda: sent.value)
 
 
 def predict_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
 
+    shared = _shared(df, model)
+
     def make():
-        known = _kept(model)
+        known = shared()
         return lambda keys, texts: (keys, *known.predict_all(texts))
 
     return map_pieces(df, [id_col, text_col], "doc_id long, lang_pred string, score double", make)
@@ -270,8 +273,10 @@ def predict_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language, at that score or higher."""
 
+    shared = _shared(df, model)
+
     def make():
-        known = _kept(model)
+        known = shared()
 
         def identified(texts):
             return [lang != "und" and score >= least for lang, score in zip(*known.predict_all(texts))]
