@@ -199,7 +199,7 @@ class Codec:
         self.transducer = Transducer(read_ranks(path))
         self.pieces = splitter(pattern)
         self.decoder = StreamDecoder(self.transducer.tokens)
-        self.of_piece = Memo(lambda piece: tuple(self.transducer.encode(piece.encode())))
+        self.of_piece = Memo(lambda piece: tuple(self.transducer.encode(piece.encode())), 150_000)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.of_piece.__getitem__, self.pieces(text))))
