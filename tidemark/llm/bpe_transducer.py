@@ -47,14 +47,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.growing = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.together: dict[tuple[int, int], bool] = {}
+        self.growing: dict[bytes, bytes] = {}  # every beginning of a token, each held once
+        for token in ranks:
+            for k in range(1, len(token)):
+                self.growing.setdefault(token[:k], token[:k])
+        self.together: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        first = ((b"", START, ()),)
-        self.states, self.numbers, self.steps = [first], {first: 0}, [{}]
+        """Forgets all states but the first. A state is one flat tuple, three items a hypothesis; a step's key is state and byte."""
+        first = (b"", START, ())
+        self.states, self.numbers, self.steps, self.pendings = [first], {first: 0}, {}, {(): ()}
         if len(self.together) > 2 * self.max_states:
             self.together.clear()
 
@@ -84,7 +88,8 @@ class Transducer:
             return False
         if left == START:
             return True
-        known = self.together.get((left, right))
+        pair = left << 32 | right
+        known = self.together.get(pair)
         if known is not None:
             return known
         a, b, until, first = left, right, len(self.ranks) + 256, True
@@ -101,18 +106,19 @@ class Transducer:
                 until, first, a = a, False, grown_a[1]  # the merge inside the left token stands left of the border
             else:
                 until, first, b = b, True, grown_b[0]
-        self.together[left, right] = known
+        self.together[pair] = known
         return known
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The transition by a byte, made now: the next state and the tokens that are certain."""
-        found, alive = None, []
-        for since, last, pending in self.states[number]:
-            since += bytes((byte,))
+        found, alive, state, more = None, [], self.states[number], bytes((byte,))
+        for i in range(0, len(state), 3):
+            since, last, pending = state[i] + more, state[i + 1], state[i + 2]
             token = self.ranks.get(since)
             if found is None and token is not None and self.may_follow(last, token):
                 found = (b"", token, (*pending, token))
-            if since in self.growing:
+            since = self.growing.get(since)
+            if since is not None:
                 alive.append((since, last, pending))
         alive.append(found)
         sure = 0
@@ -120,13 +126,13 @@ class Transducer:
         while sure < shortest and len({p[sure] for _, _, p in alive}) == 1:
             sure += 1
         out = alive[0][2][:sure]
-        key = tuple((since, last, pending[sure:]) for since, last, pending in alive)
+        held = self.pendings.setdefault
+        key = tuple(x for since, last, pending in alive for x in (since, last, held(pending[sure:], pending[sure:])))
         to = self.numbers.get(key)
         if to is None:
             to = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        self.steps[number][byte] = to, out
+        self.steps[number << 8 | byte] = to, out
         return to, out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -136,11 +142,11 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self.reset()
-        ids, number, steps = [], 0, self.steps
+        ids, number, known = [], 0, self.steps.get
         for byte in piece:
-            number, out = steps[number].get(byte) or self.step(number, byte)
+            number, out = known(number << 8 | byte) or self.step(number, byte)
             ids += out
-        return ids + list(self.states[number][-1][2])
+        return ids + list(self.states[number][-1])
 
 
 def utf8_step(held: bytes, more: bytes) -> tuple[str, bytes]:
@@ -172,18 +178,28 @@ class StreamDecoder:
     """Turns ids into text as they arrive; ``finish`` tells of a character that was never completed."""
 
     def __init__(self, tokens: dict[int, bytes], entries: int = 200_000):
-        self.tokens, self.entries, self.steps, self.held = tokens, entries, {}, b""
+        self.tokens, self.entries, self.held = tokens, entries, b""
+        self.forget()
+
+    def forget(self) -> None:
+        """Steps of a state by token: the characters, the bytes then held back, and the steps of that state."""
+        self.known, self.states = 0, {b"": {}}
+
+    def step(self, held: bytes, token: int) -> tuple[str, bytes, dict]:
+        if self.known >= self.entries:
+            self.forget()
+        text, rest = utf8_step(held, self.tokens[token])
+        step = text, rest, self.states.setdefault(rest, {})
+        self.states.setdefault(held, {})[token] = step
+        self.known += 1
+        return step
 
     def feed(self, ids: list[int]) -> str:
-        text, held, steps = [], self.held, self.steps
+        text, held = [], self.held
+        steps = self.states.setdefault(held, {})
         for token in ids:
-            step = steps.get((held, token))
-            if step is None:
-                if len(steps) >= self.entries:
-                    steps.clear()
-                step = steps[held, token] = utf8_step(held, self.tokens[token])
-            text.append(step[0])
-            held = step[1]
+            piece, held, steps = steps.get(token) or self.step(held, token)
+            text.append(piece)
         self.held = held
         return "".join(text)
 
