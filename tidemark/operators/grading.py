@@ -116,10 +116,13 @@ def filter_models(df: DataFrame, models=None, window: str | None = None) -> Data
 
 
 def mean_grade(grades: DataFrame) -> DataFrame:
-    """G-9: mean over windows, and the loss a tuning run minimises."""
-    return grades.groupBy("model").agg(F.avg("spearman").alias("mean_spearman")).withColumn(
-        "loss", -F.col("mean_spearman")
-    )
+    """G-9: mean over windows, the loss a tuning run minimises, and the number of windows without a grade.
+
+    A window without pairs, or whose values are all equal, has no grade and no part in the mean.
+    """
+    return grades.groupBy("model").agg(
+        F.avg("spearman").alias("mean_spearman"), F.count_if(F.col("spearman").isNull()).alias("ungraded")
+    ).select("model", "mean_spearman", (-F.col("mean_spearman")).alias("loss"), "ungraded")
 
 
 def window_difference(first: DataFrame, second: DataFrame, column: str = "novelty") -> DataFrame:

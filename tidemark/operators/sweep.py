@@ -117,7 +117,7 @@ def objective(
     """J-2: ``(label, params, loss)`` for a list of settings of one model class.
 
     All TF-IDF settings run as one job; other classes are one job per setting, whose results are
-    joined into one table.
+    joined into one table. A setting whose every window is without a grade has a NULL loss.
     """
     spark = cleaned.sparkSession
     corpus = Corpus.of(cleaned, windows)
@@ -135,7 +135,7 @@ def objective(
     losses = mean_grade(model_grades(similar)).select(F.col("model").alias("_name"), "loss")
     rows = [(label, n, text_params(t)) for n, t in names.items()]
     params = spark.createDataFrame(rows, "label STRING, _name STRING, params MAP<STRING,STRING>")
-    return params.join(losses, "_name").select("label", "params", "loss")
+    return params.join(losses, "_name", "left").select("label", "params", "loss")
 
 
 def sweep_models(
@@ -201,14 +201,14 @@ def sweep_preprocessors(
     losses = grades.groupBy("n").agg((-F.avg("spearman")).alias("loss"))
     params = [(label, n, row["params"]) for n, row in enumerate(todo)]
     named = spark.createDataFrame(params, "label STRING, n INT, params MAP<STRING,STRING>")
-    return done.unionByName(named.join(losses, "n").select("label", "params", "loss"))
+    return done.unionByName(named.join(losses, "n", "left").select("label", "params", "loss"))
 
 
 def ranked_trials(trials: DataFrame, label: str | None = None, n: int | None = None) -> DataFrame:
-    """T-4: trials by rising loss."""
+    """T-4: trials by rising loss, those without one last."""
     if label is not None:
         trials = trials.where(F.col("label") == label)
-    ranked = trials.orderBy("loss")
+    ranked = trials.orderBy(F.asc_nulls_last("loss"))
     return ranked if n is None else ranked.limit(n)
 
 

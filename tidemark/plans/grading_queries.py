@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import codes as C, embed as E, grading as G, sweep as SW
+from tidemark.operators import codes as C, grading as G, sweep as SW
 from tidemark.plans import runs, views as v
 from tidemark.plans.catalog import query
 from tidemark.plans.code_queries import SEED, SIMILAR, sampled
@@ -106,7 +106,7 @@ def grade_models_sparse(spark, sf):
     return v.rounded(G.model_grades(sparse_similarities(spark, sf)), "spearman")
 
 
-@query("mean_grade", grades_sql(DENSE, "SELECT model, round(avg(spearman), 8) AS mean_spearman, round(-avg(spearman), 8) AS loss FROM grades GROUP BY model"))
+@query("mean_grade", grades_sql(DENSE, "SELECT model, round(avg(spearman), 8) AS mean_spearman, round(-avg(spearman), 8) AS loss, count(*) - count(spearman) AS ungraded FROM grades GROUP BY model"))
 def mean_grade(spark, sf):
     """G-9."""
     grades = G.mean_grade(v.rounded(G.model_grades(dense_similarities(spark, sf)), "spearman"))
@@ -185,25 +185,6 @@ def flat_trials(trials):
     return trials.select("label", SW.params_key().alias("params"), "loss")
 
 
-@query("objective")
-def objective(spark, sf):
-    """J-2: losses of three TF-IDF settings in one job."""
-    cleaned, pairs, windows = tuning(spark, sf)
-    settings = [{"norm": n, "stop_words": v.STOP_WORDS} for n in ("l1", "l2", None)]
-    return flat_trials(SW.objective("tfidf", E.Tfidf.kind, settings, cleaned, pairs, windows))
-
-
-@query("sweep_models")
-def sweep_models(spark, sf):
-    """J-4: two random settings of the weighted counts, one of them already finished."""
-    cleaned, pairs, windows = tuning(spark, sf)
-    finished = spark.createDataFrame([("counts", {"method": "prop"}, -0.25)], SW.schemas.TRIALS)
-    search = E.WeightedCounts.search
-    return flat_trials(
-        SW.sweep_models("counts", E.WeightedCounts.kind, search, 2, finished, cleaned, pairs, windows, seed=4)
-    )
-
-
 TRIALS = "trials AS (SELECT lang AS label, 'source=' || source AS params, round(-avg(n_chars), 6) AS loss FROM documents GROUP BY ALL)"
 
 
@@ -235,14 +216,3 @@ def pending_trials(spark, sf):
     long = v.table(spark, sf, "documents").where("n_chars > 8000")
     done = long.select(F.col("lang").alias("label"), F.create_map(F.lit("source"), "source").alias("params"))
     return flat_trials(SW.pending_trials(trials(spark, sf), done))
-
-
-@query("sweep_preprocessors")
-def sweep_preprocessors(spark, sf):
-    """J-5: the eight switch settings of the preprocessor, graded with weighted counts."""
-    return flat_trials(
-        SW.sweep_preprocessors(
-            "prep", E.WeightedCounts.kind, v.docs(spark, sf), v.codes(spark, sf), v.EPOCHS.frame(spark),
-            settings={"method": "prop"},
-        )
-    )

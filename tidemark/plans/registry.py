@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401
     file_queries,
     grading_queries,
     score_queries,
+    sweep_queries,
     text_queries,
     vector_queries,
 )
