@@ -104,3 +104,10 @@ def test_malformed_codes_are_counted(spark, codes):
     years = spark.createDataFrame([(7, 1900), (8, 1901)], "pat long, year int")
     got = C.code_vectors(bad, years).collect()
     assert [(r["pat"], r["levels"]) for r in got] == [(8, [72, 0, 2, 75, 11, 21])]
+
+
+def test_sorted_codes(spark):
+    rows = [(2, 1, "b"), (2, 0, "a"), (1, 0, "c"), (3, 0, "d"), (4, 0, "e")]
+    codes = spark.createDataFrame(rows, "pat LONG, progr INT, CPC STRING").repartition(4)
+    years = spark.createDataFrame([(1, 1905), (2, 1901), (3, 1901)], "pat LONG, year INT")
+    assert [r["CPC"] for r in C.sorted_codes(codes, years).collect()] == ["a", "b", "d", "c"]

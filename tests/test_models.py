@@ -183,3 +183,23 @@ def test_run_score_grade(spark, sf, tmp_path):
         runs.run_models(None, models, WindowSpec(1900, 1912, 10, 1), docs, codes, store)
     with pytest.raises(ValueError):
         runs.run_pretrained({"p": Preprocessor()}, {"tfidf": models["tfidf"]}, spec, docs, codes, store)
+
+
+def test_windows_without_a_grade_are_counted(spark):
+    from tidemark.operators.grading import mean_grade
+
+    rows = [("a", "w1", 0.5), ("a", "w2", None), ("a", "w3", 0.25), ("b", "w1", None)]
+    grades = {r["model"]: r for r in mean_grade(spark.createDataFrame(rows, "model STRING, window STRING, spearman DOUBLE")).collect()}
+    assert (grades["a"]["loss"], grades["a"]["ungraded"]) == (-0.375, 1)
+    assert (grades["b"]["loss"], grades["b"]["ungraded"]) == (None, 1)
+
+
+def test_settings_without_a_grade_keep_their_row_and_come_last(spark):
+    docs = spark.createDataFrame([(1, 1901, "one two"), (2, 1901, "two three")], "patent LONG, year INT, contents STRING")
+    pairs = spark.createDataFrame([("1900-1904", 1, 2, 0.5)], "window STRING, i LONG, j LONG, correlation DOUBLE")
+    windows = WindowSpec(1900, 1905, 5, 5).frame(spark)
+    trials = SW.objective("c", E.WeightedCounts.kind, [{"method": "prop"}, {"method": "sigmoid"}], docs, pairs, windows)
+    assert [r["loss"] for r in trials.collect()] == [None, None]
+    done = spark.createDataFrame([("c", {"method": "x"}, -0.5)], SW.schemas.TRIALS)
+    ranked = SW.ranked_trials(trials.unionByName(done)).collect()
+    assert [r["loss"] for r in ranked] == [-0.5, None, None]

@@ -37,6 +37,11 @@ def code_vectors(codes: DataFrame, years: DataFrame) -> DataFrame:
     return dated.where("levels IS NOT NULL").select("pat", "year", "progr", "levels")
 
 
+def sorted_codes(codes: DataFrame, years: DataFrame) -> DataFrame:
+    """T-2: code rows with a year, by year, id and running number."""
+    return codes_with_year(codes, years).orderBy("year", "pat", "progr")
+
+
 def malformed_codes(codes: DataFrame) -> DataFrame:
     """Q-5: how many code rows the level pattern rejects."""
     return codes.agg(F.count_if(int_levels(F.col("CPC")).isNull()).alias("malformed"))

@@ -20,6 +20,15 @@ def codes_with_year(spark, sf):
     return C.codes_with_year(v.codes(spark, sf), v.code_years(spark, sf))
 
 
+@query(
+    "sorted_codes",
+    v.sql_with(v.CODES, v.CODE_YEARS) + "SELECT pat, progr, CPC, year FROM codes JOIN years USING (pat) ORDER BY year, pat, progr",
+)
+def sorted_codes(spark, sf):
+    """T-2."""
+    return C.sorted_codes(v.codes(spark, sf), v.code_years(spark, sf))
+
+
 @query(
     "code_vectors",
     v.sql_with(v.CODES, v.CODE_YEARS, v.LEVELS)

@@ -15,6 +15,8 @@ from tidemark.operators.scores import scores_wide
 from tidemark.plans import views as v
 from tidemark.plans.catalog import query
 from tidemark.plans.score_queries import WIDE_SQL, dense_scores, score_sql
+from tidemark.plans.text_queries import clean_sql, remains_sql, unprintable
+from tidemark.plans.vector_queries import countvec_sql
 from tidemark.session import scratch_path
 from tidemark.sources import documents as D, store as ST, tables as TB
 from tidemark.streaming.ingest import ingest_dir
@@ -141,17 +143,24 @@ def append_new_docs(spark, sf):
     return doc_rows(D.read_by_year(spark, path))
 
 
+PREPARED = (
+    v.DOCS.replace("docs AS", "originals AS"),
+    f"started AS (SELECT patent, {unprintable('contents')} AS contents FROM originals WHERE contents <> '')",
+    f"cleaned AS (SELECT patent, {clean_sql('contents')} AS contents FROM started)",
+    f"prepared AS (SELECT patent, year, file, {remains_sql('c.contents')} AS contents FROM cleaned c JOIN originals USING (patent))",
+)
+
+
 @query(
     "write_cleaned",
-    v.sql_with(v.DOCS)
-    + "SELECT file || '_cleaned' AS output, count(*) AS docs, CAST(sum(patent) AS BIGINT) AS ids FROM docs GROUP BY file",
+    v.sql_with(*PREPARED) + "SELECT file || '_cleaned' AS output, patent, year, md5(contents) AS digest FROM prepared",
 )
 def write_cleaned(spark, sf):
     """A-12."""
     path = scratch_path(spark, "cleaned")
     D.write_cleaned(Preprocessor(keep_start_section=True).clean(v.docs(spark, sf)), path)
     back = spark.read.schema(schemas.DOCUMENTS + ", output STRING").json(path)
-    return back.groupBy("output").agg(F.count(F.lit(1)).alias("docs"), F.sum("patent").alias("ids"))
+    return back.select("output", "patent", "year", F.md5("contents").alias("digest"))
 
 
 CSV_SQL = WIDE_SQL.replace("SELECT model,", "SELECT 'vec' AS classifier,").replace("GROUP BY model,", "GROUP BY")
@@ -343,17 +352,16 @@ def stale_years(spark, sf):
 
 @query(
     "run_models",
-    v.sql_with(v.DOCS, v.sql_windows(v.EPOCHS), v.sql_members("docs"))
-    + "SELECT 'prep-counts' AS model, \"window\", count(*) AS docs FROM members GROUP BY \"window\"",
+    countvec_sql("1.0 / total")
+    .replace(v.DOCS, ", ".join((*PREPARED, "docs AS (SELECT patent, year, contents FROM prepared)")))
+    .replace("'counts' AS model", "'prep-counts' AS model"),
 )
 def run_models(spark, sf):
-    """E-6 end to end: clean, fit and apply per window, store; documents with vectors per window."""
+    """E-6 end to end: clean, fit and apply per window, store; every weight of every document and window."""
     from tidemark.plans.runs import run_models as run
 
     store = ST.ResultStore(spark, scratch_path(spark, "store"))
     prep = {"prep": Preprocessor(keep_start_section=True)}
     run(prep, {"counts": E.WeightedCounts("prop")}, v.EPOCHS, v.docs(spark, sf), v.codes(spark, sf), store)
-    rows = store.read("sparse_embeddings").select("model", "window", "patent").distinct()
-    return rows.groupBy("model", "window").agg(F.count(F.lit(1)).alias("docs"))
-
-
+    rows = store.read("sparse_embeddings").select("model", "window", "patent", "year", "term", "w")
+    return v.rounded(rows, "w")
