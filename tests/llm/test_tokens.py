@@ -138,3 +138,11 @@ def test_queries_cover_all_documents(spark, sf, name):
         library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(MULTI), special_tokens={})
         want = {r.doc_id: len(library.encode_ordinary(r.text or "")) for r in docs.collect()}
     assert got == want
+
+
+def test_formatted_length_is_read_from_the_output():
+    template = chat_format.template_of(PLAIN, PATTERN)
+    for role, text in [("user", "a [/INST] b"), ("assistant", ""), ("tool <|text|>", "x </s>\n<s\\>"), ("system", "日本 <<SYS>>")]:
+        ids, mask, chars = template.write(role, text)
+        assert template.read_sized(ids, mask) == (role, text, text if role == "assistant" else "", chars)
+        assert template.read_sized(ids[:1] + ids[-1:], [0, 0])[3] < chars or not text

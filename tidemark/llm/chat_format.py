@@ -84,14 +84,20 @@ class Template:
 
     def read(self, ids: list[int], mask: list[int]) -> tuple[str, str, str]:
         """Role, text and text under the loss of a written turn, from its ids and mask alone."""
+        return self.read_sized(ids, mask)[:3]
+
+    def read_sized(self, ids: list[int], mask: list[int]) -> tuple[str, str, str, int]:
+        """As ``read``, with the turn's formatted code points, marks and escapes included."""
         at = [(i, self.marks[t]) for i, t in enumerate(ids) if t in self.marks]
-        inside = [self.text(ids[i + 1 : j]) for (i, _), (j, _) in zip(at, at[1:])]
+        inside = [self.formatted(ids[i + 1 : j]) for (i, _), (j, _) in zip(at, at[1:])]
         opening = at[0][1]
-        role = inside[0] if opening == NAMED else next(r for r, pair in MARKS.items() if pair[0] == opening)
-        return role, inside[-1], self.text([t for t, m in zip(ids, mask) if m])
+        role = unescape(inside[0]) if opening == NAMED else next(r for r, pair in MARKS.items() if pair[0] == opening)
+        chars = sum(len(mark) for _, mark in at) + sum(map(len, inside))
+        return role, unescape(inside[-1]), unescape(self.formatted([t for t, m in zip(ids, mask) if m])), chars
 
-    def text(self, ids: list[int]) -> str:
-        return unescape(b"".join(map(self.tokens.__getitem__, ids)).decode())
+    def formatted(self, ids: list[int]) -> str:
+        """The text of ids between marks, as it stands in the output."""
+        return b"".join(map(self.tokens.__getitem__, ids)).decode()
 
 
 @lru_cache(2)
@@ -137,14 +143,14 @@ def place_turns(turns: DataFrame, span: int = 4096) -> DataFrame:
 
 
 def read_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The turns back from formatted output: role, text and text under the loss; nothing but ids and masks is read."""
+    """The turns back from formatted output: role, text, text under the loss and length; nothing but ids and masks is read."""
 
     def worker():
         template = template_of(path, pattern)
-        return lambda conv, start, ids, mask, chars: (conv, start, *template.read(ids, mask), chars)
+        return lambda conv, start, ids, mask: (conv, start, *template.read_sized(ids, mask))
 
     return map_rows(
-        turns, ["conv_id", "start", "ids", "mask", "n_chars"],
+        turns, ["conv_id", "start", "ids", "mask"],
         "conv_id long, start long, role string, text string, loss string, n_chars long", worker,
     )
 
