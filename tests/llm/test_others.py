@@ -217,3 +217,27 @@ def test_pipeline_takes_odd_rows(spark, sf):
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, sf).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["button", "select", "object", "canvas", "svg", "math"])
+def test_what_follows_an_unclosed_element_is_kept(name):
+    page = f"<article><p>a</p><{name}>x<p>b</p><p>c</p></article>"
+    assert [line.text for line in page_text.page_lines(page)] == ["a", "b", "c"]
+    closed = f"<p>a</p><{name}>x</{name}><p>b</p><{name}>y<p>c</p>"
+    assert [line.text for line in page_text.page_lines(closed)] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("name", ["iframe", "textarea", "noscript", "script"])
+def test_raw_elements_without_an_end_take_the_rest(name):
+    assert [line.text for line in page_text.page_lines(f"<p>a</p><{name}>x<p>b</p>")] == ["a"]
+
+
+@pytest.mark.parametrize(
+    "broken", ["<svg>", "<svg><p>", "<a x=\"", "<a x='", '<p><a b="c>', "<button>z<p>", "<script>", "<!-- ", "<a ", "<math><svg>"]
+)
+def test_broken_markup_takes_linear_time(broken):
+    import time
+
+    start = time.process_time()
+    page_text.page_lines(broken * (1_000_000 // len(broken)) + "</svg>")
+    assert time.process_time() - start < 20

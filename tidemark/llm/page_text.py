@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Names of the HTML standard.
 UNSEEN = {"script", "style", "template", "svg", "select", "button", "textarea", "iframe", "noscript", "title", "object", "canvas", "math"}
 FOREIGN = {"svg", "math"}  # may close themselves, and end before an element of the page if they are never closed
+LOOSE = {"button", "select", "object", "canvas"}  # what follows is seen: if never closed they end before an element of the page
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ARTICLE = {"article", "main"}
 BOXES = FRAME | ARTICLE | {"header", "section", "div", "ul", "ol", "dl", "table", "figure", "blockquote", "details", "fieldset", "address"}
@@ -58,7 +59,8 @@ LISTS = {
 #: In a name such as "with-sidebar", what follows is not the element itself.
 OF_OTHERS = {"with", "has", "no", "is", "not", "without"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+REST_OF_TAG = r"""((?:[^<>"']++|"[^"]*"|'[^']*')*+)>"""  # possessive, and ends at a "<": broken markup costs no second look
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+){REST_OF_TAG}", re.S)
 NAMING = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[a-z]+").findall
@@ -84,26 +86,44 @@ def named_words(attributes: str, whole: bool = False) -> set[str]:
     return out
 
 
-def unseen_end(html: str, at: int, name: str, attributes: str) -> int:
-    """Where an unseen element that opened before ``at`` ends."""
-    if name in FOREIGN and attributes.endswith("/") and not UNQUOTED_END.search(attributes):
-        return at
-    if name not in FOREIGN:
-        shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-        return shut.end() if shut else len(html)
-    depth, first = 1, None
-    for found in TAG.finditer(html, at):
-        inner = (found[2] or "").lower()
-        if inner == name:
-            if found[1]:
-                depth -= 1
-            elif not found[3].endswith("/") or UNQUOTED_END.search(found[3]):
-                depth += 1
-            if not depth:
-                return found.end()
-        elif first is None and inner in BLOCKS:
-            first = found.start()
-    return len(html) if first is None else first
+class UnseenEnds:
+    """Where the unseen elements of a page end. The tags of a name are paired in one pass, when the first of them is met."""
+
+    def __init__(self, html: str):
+        self.html, self.closing, self.paired = html, {}, {}
+
+    def pairs(self, name: str) -> dict[int, int]:
+        """The end of an element by the end of its opening tag. A button or select ends where the next one opens."""
+        found, opened = {}, []
+        tags = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({name})(?=[\s/>]){REST_OF_TAG}", re.S | re.I)
+        for tag in tags.finditer(self.html):
+            if not tag[2] or tag[3].endswith("/") and name in FOREIGN and not UNQUOTED_END.search(tag[3]):
+                continue
+            if not tag[1]:
+                if opened and name in ("button", "select"):
+                    found[opened.pop()] = tag.start()
+                opened.append(tag.end())
+            elif opened:
+                found[opened.pop()] = tag.end()
+        return found
+
+    def end(self, at: int, name: str, attributes: str) -> int:
+        """Where an unseen element ends whose opening tag ends at ``at``."""
+        if name in FOREIGN and attributes.endswith("/") and not UNQUOTED_END.search(attributes):
+            return at
+        if name in FOREIGN | LOOSE:
+            if name not in self.paired:
+                self.paired[name] = self.pairs(name)
+            end = self.paired[name].get(at)
+            if end is None:
+                blocks = (tag.start() for tag in TAG.finditer(self.html, at) if (tag[2] or "").lower() in BLOCKS)
+                end = next(blocks, len(self.html))
+            return end
+        if name not in self.closing:
+            self.closing[name] = [m.end() for m in re.finditer(rf"</{re.escape(name)}\s*>", self.html, re.I)]
+        ends = self.closing[name]
+        after = bisect_left(ends, at + len(name) + 3)
+        return ends[after] if after < len(ends) else len(self.html)
 
 
 def page_lines(html: str | None) -> list[Line]:
@@ -123,7 +143,7 @@ def page_lines(html: str | None) -> list[Line]:
             lines.append((Line(text, frame, any(b[2] for b in open_boxes)), [b[4] for b in open_boxes if b[4]]))
 
     html = html or ""
-    at = 0
+    at, unseen = 0, UnseenEnds(html)
     while True:
         found = TAG.search(html, at)
         if not inline:
@@ -136,7 +156,7 @@ def page_lines(html: str | None) -> list[Line]:
             continue
         closing = bool(found[1])
         if name in UNSEEN and not closing:
-            at = unseen_end(html, at, name, found[3])
+            at = unseen.end(at, name, found[3])
             continue
         if name == "head":  # what it holds is unseen by itself, and its end may be left out
             continue
