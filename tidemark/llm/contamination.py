@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.pieces import release
 from tidemark.llm.text_map import keep_rows
 
 WORD = re.compile(r"[^\W_]+").findall
@@ -220,6 +221,7 @@ def keep_unleaked(
     for index in indexes(benchmark, part_words):
 
         def make(index=index):
+            release()
             return lambda text: not (text and index.value.matches(text, threshold, overlap))
 
         docs = keep_rows(docs, "text", make)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.pieces import release
 from tidemark.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+").findall
@@ -84,6 +85,7 @@ def sign_texts(df: DataFrame, n: int, bands: int, rows: int, id_col: str, text_c
     mult, add = permutations(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 
+import pyarrow as pa
 import regex
 
 # Unicode's White_Space class. The standard library counts a few control characters more.
@@ -45,9 +48,20 @@ class Memo(dict):
 _resident: dict = {}
 
 
+def release() -> None:
+    """Forgets what this process keeps and hands the memory back, so that it does not add to that of other work."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+
 def resident(key, make):
     """The object of a key that this process keeps between its tasks; it forgets the one of any other key."""
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = make()
     return _resident[key]
