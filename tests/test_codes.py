@@ -111,3 +111,49 @@ def test_sorted_codes(spark):
     codes = spark.createDataFrame(rows, "pat LONG, progr INT, CPC STRING").repartition(4)
     years = spark.createDataFrame([(1, 1905), (2, 1901), (3, 1901)], "pat LONG, year INT")
     assert [r["CPC"] for r in C.sorted_codes(codes, years).collect()] == ["a", "b", "d", "c"]
+
+
+def brute_score(docs, years, pat, p, test):
+    own = docs[pat]
+    values = [np.mean([max(level(c, o) for o in docs[q]) for c in own]) ** p for q in docs if test(years[q])]
+    return np.mean(values) ** (1 / p) if values else None
+
+
+def test_code_scores_of_long_and_single_lists(spark):
+    rng = np.random.default_rng(5)
+    docs, years = {}, {}
+    for pat in range(40):
+        # thirty codes, one code, and codes that nobody else has
+        n, letters = (30, "ABC") if pat % 13 == 5 else (1, "Z") if pat == 9 else (int(rng.integers(1, 4)), "ABC")
+        docs[pat] = [
+            f"{letters[rng.integers(len(letters))]}{rng.integers(3)}{rng.integers(3)}{'CD'[rng.integers(2)]}{rng.integers(1, 4)}/{rng.integers(3)}"
+            for _ in range(n)
+        ]
+        years[pat] = 1900 + pat % 7
+    rows = [(p, i, c) for p, cs in docs.items() for i, c in enumerate(cs)]
+    vectors = C.code_vectors(
+        spark.createDataFrame(rows, "pat long, progr int, CPC string"),
+        spark.createDataFrame(list(years.items()), "pat long, year int"),
+    )
+    windows = WindowSpec(1900, 1907, 5, 1).frame(spark)
+    exponents = [1.0, 2.0, 3.0, 1.5]
+    got = C.code_novelty_impact(vectors, windows, exponents, rows=3).collect()
+    frames = C.code_frames(windows).collect()
+    wanted = {(f["window"], p, d) for f in frames for d in docs if years[d] == f["focal_year"] for p in exponents}
+    assert {(r["window"], r["exponent"], r["patent"]) for r in got} == wanted and len(got) == len(wanted)
+    ends = {f["window"]: (f["focal_year"], f["end"]) for f in frames}
+    for r in got:
+        f, end = ends[r["window"]]
+        back = brute_score(docs, years, r["patent"], r["exponent"], lambda y: y < f)
+        forward = brute_score(docs, years, r["patent"], r["exponent"], lambda y: f < y <= end)
+        assert r["back_similarity"] == pytest.approx(back, abs=1e-9)
+        assert r["impact"] == pytest.approx(forward / (back + 1e-12))
+
+
+def test_sets_of_one_year_are_not_grown(spark):
+    rows = [(1, 0, "A11B1/1"), (1, 1, "C22D2/2"), (2, 0, "A11B1/1"), (3, 0, "C22D2/2"), (3, 1, "A11B1/1"), (4, 0, "E33F3/3")]
+    years = spark.createDataFrame([(1, 1900), (2, 1901), (3, 1902), (4, 1902)], "pat long, year int")
+    vectors = C.code_vectors(spark.createDataFrame(rows, "pat long, progr int, CPC string"), years)
+    one, two = [{r["key"]: len(r["years"]) for r in t.collect()} for t in C.count_prefix_sets(C.weighted_prefixes(vectors), 2)]
+    assert len(one) == 12 and not any(k.startswith("69") for k in one)
+    assert len(two) == 36 and set(two.values()) == {2}

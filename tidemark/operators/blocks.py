@@ -19,9 +19,10 @@ CHUNK = 16384
 SALTS = 32
 
 
-def with_block(df: DataFrame, keys: list[str], rows: int, by: str = "patent") -> DataFrame:
-    """Add ``block``: a hash bucket of the document id sized by the count of the group."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_blocks"))
+def with_block(df: DataFrame, keys: list[str], rows: int, by: str = "patent", size: Column | None = None) -> DataFrame:
+    """Add ``block``: a hash bucket of the document id sized by the count of the group, or by the sum of ``size``."""
+    total = F.count(F.lit(1)) if size is None else F.sum(size)
+    counts = df.groupBy(*keys).agg(F.ceil(total / rows).alias("_blocks"))
     return (
         df.join(counts, keys)
         .withColumn("block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("long"))

@@ -161,6 +161,8 @@ def year_pairs(docs: DataFrame, codes: DataFrame, k: int = 10, seed: int = 12345
 
 # --- novelty and impact from codes ---------------------------------------------------------------
 
+CODE_ROWS = 4  # code rows of a block for each document that its size in documents stands for
+
 
 def level_gains() -> list[float]:
     """What each further level of agreement adds to the similarity."""
@@ -262,30 +264,69 @@ def weighted_prefixes(vectors: DataFrame) -> DataFrame:
     return docs.select("pat", "year", F.transform("held", mean).alias("held"))
 
 
+def related(x: Column, y: Column) -> Column:
+    """Whether one prefix is an ancestor of the other."""
+    return x.startswith(y) | y.startswith(x)
+
+
+def count_prefix_sets(docs: DataFrame, order: int) -> list[DataFrame]:
+    """Documents per year of every set of up to ``order`` prefixes, none an ancestor of another: a table (key, years) per size.
+
+    Grown like frequent sets: a set is only built from two sets that differ in their last member and are both held in more
+    than one year. Others cannot be in a focal document and in its back or forward range, and neither can what contains them.
+    """
+    rows = docs.select("pat", "year", F.lit("").alias("stem"), F.explode("held.prefix").alias("last"))
+    tables = []
+    for size in range(1, order + 1):
+        rows = rows.select("pat", "year", "stem", "last", F.concat("stem", "last").alias("key"))
+        counts = rows.groupBy("key", "year").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.groupBy("key").agg(F.collect_list(F.struct("year", "n")).alias("years")).where(F.size("years") > 1)
+        if order > 1:
+            counts = cut_lineage(counts)  # read for the growth of both sides and for the totals
+        tables.append(counts)
+        if size < order:
+            alive = rows.join(counts.select("key"), "key", "left_semi")
+            alive = alive.groupBy("pat", "year", "stem").agg(F.sort_array(F.collect_list("last")).alias("all"))
+            alive = alive.select("pat", "year", "stem", "all", F.posexplode("all").alias("at", "e"))
+            further = F.slice("all", F.col("at") + 2, F.size("all"))
+            rows = alive.select("pat", "year", "stem", "e", F.explode(further).alias("last")).where(~related(F.col("e"), F.col("last")))
+            rows = rows.select("pat", "year", F.concat("stem", "e", F.lit(";")).alias("stem"), "last")
+    return tables
+
+
 def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[float]) -> DataFrame:
     docs = weighted_prefixes(vectors)
     order = int(max(exponents))
+    if order > 1:
+        docs = cut_lineage(docs)
+    counts = count_prefix_sets(docs, order)
     key_text = F.array_join("key", ";").alias("key")
 
     # focal side: the p-th power of a document's weighted prefixes, multiplied out set by set
     focal_frame = frame.select("window", F.col("focal_year").alias("year"), "end", "earliest")
     base = ["window", "year", "end", "earliest", "pat"]
-    terms = docs.join(focal_frame, "year").select(*base, "held", F.posexplode("held").alias("at", "e"))
-    terms = terms.select(
-        *base, "held", "at", F.lit(1).alias("run"), F.array("e.prefix").alias("key"), F.col("e.w").alias("w")
-    )
+    mine = docs.join(focal_frame, "year").select(*base, "held")
+    terms = mine.select(*base, F.posexplode("held").alias("at", "e"))
+    terms = terms.select(*base, "at", F.lit(1).alias("run"), F.array("e.prefix").alias("key"), F.col("e.w").alias("w"))
     expanded = []
     for p in range(1, order + 1):
         if p > 1:
+            # only terms whose set is also held in another year go on, since all that grows from the others is 0
+            known = reduce(DataFrame.unionByName, [c.select(F.col("key").alias("_key")) for c in counts[: p - 1]])
+            alive = terms.join(known, F.array_join("key", ";") == F.col("_key"), "left_semi")
+            alive = alive.groupBy(*base).agg(F.collect_list(F.struct("at", "run", "key", "w")).alias("_terms"))
+            terms = alive.join(mine, base).select(*base, "held", F.explode("_terms").alias("t")).select(*base, "held", "t.*")
             # prefixes are taken in order; p / run builds up the multinomial coefficient
             rest = F.slice("held", F.col("at") + 1, F.size("held"))
             run = F.when(F.col("step") == 0, F.col("run") + 1).otherwise(1)
-            terms = terms.select(*base, "held", "at", "run", "key", "w", F.posexplode(rest).alias("step", "e"))
+            terms = terms.select(*base, "at", "run", "key", "w", F.posexplode(rest).alias("step", "e"))
             terms = terms.select(
-                *base, "held", (F.col("at") + F.col("step")).alias("at"), run.alias("run"),
+                *base, (F.col("at") + F.col("step")).alias("at"), run.alias("run"),
                 add_prefix(F.col("key"), F.col("e.prefix")).alias("key"),
                 (F.col("w") * F.col("e.w") * (float(p) / run)).alias("w"),
             )
+            if p < order:
+                terms = cut_lineage(terms)  # read for its scores and for the terms that grow from it
         if float(p) in exponents:
             expanded.append(terms.select(*base, key_text, "w", F.lit(float(p)).alias("exponent")))
     # read three times: for the sets that are needed, for hot sets, and for the scores
@@ -295,35 +336,16 @@ def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[fl
         .agg(F.sum("w").alias("w"))
     )
 
-    # counting side: documents per prefix set and year; members in order, none an ancestor of another
-    grown = docs.select("year", F.col("held.prefix").alias("held"), F.explode("held.prefix").alias("e"))
-    grown = grown.select("year", "held", F.array("e").alias("key"))
-    families = [grown.select("year", key_text)]
-    related = lambda x, y: x.startswith(y) | y.startswith(x)
-    for _ in range(1, order):
-        further = F.filter(
-            "held",
-            lambda x: (x > F.element_at("key", -1)) & ~F.exists("key", lambda e: related(e, x)),
-        )
-        grown = grown.withColumn("e", F.explode(further)).select(
-            "year", "held", F.array_append("key", F.col("e")).alias("key")
-        )
-        families.append(grown.select("year", key_text))
-    counts = (
-        reduce(DataFrame.unionByName, families)
-        .groupBy("key", "year")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
     # one row per needed (set, window), at most one addition per year
     needed = focal.groupBy("key", "window").agg(
         F.count(F.lit(1)).alias("n"), F.first("year").alias("focal_year"),
         F.first("end").alias("end"), F.first("earliest").alias("earliest"),
     )
+    per_year = reduce(DataFrame.unionByName, counts).select("key", F.explode("years").alias("e")).select("key", "e.year", "e.n")
     y = F.col("year")
     totals = (
         needed.drop("n")
-        .join(counts, "key")
+        .join(per_year, "key")
         .groupBy("key", "window")
         .agg(
             F.sum(F.when(is_back(y), F.col("n"))).alias("cb"),
@@ -332,7 +354,11 @@ def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[fl
     )
     scored = skew_join(
         focal, totals, ["key", "window"], "left", spread="pat", counts=needed.select("key", "window", "n")
-    )
+    ).select("window", "exponent", "year", "pat", "w", "cb", "cf")
+    # a document whose sets are all its own scores 0
+    none = [F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("cb"), F.lit(0).cast("long").alias("cf")]
+    each = F.explode(F.array(*[F.lit(p) for p in exponents])).alias("exponent")
+    scored = scored.unionByName(mine.select("window", each, "year", "pat", *none))
     add = lambda c: F.sum(F.col("w") * F.coalesce(F.col(c), F.lit(0)))
     sums = scored.groupBy("window", "exponent", F.col("year").alias("focal_year"), F.col("pat").alias("patent")).agg(
         add("cb").alias("sb"), add("cf").alias("sf")
@@ -351,7 +377,9 @@ def block_similarities(
     """Any exponent: focal blocks against back and forward blocks, summed inside the task."""
     docs = vectors.groupBy("pat", "year").agg(F.flatten(F.collect_list("levels")).alias("levels"))
     docs = docs.withColumnRenamed("pat", "patent")
-    packed = with_block(docs, ["year"], rows).groupBy("year", "block").agg(
+    # blocks are bounded in code rows, however long the lists are
+    code_rows = F.size("levels") / LEVELS
+    packed = with_block(docs, ["year"], CODE_ROWS * rows, size=code_rows).groupBy("year", "block").agg(
         F.collect_list(F.struct("patent", "levels")).alias("r")
     )
     packed = packed.select(

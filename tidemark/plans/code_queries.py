@@ -182,11 +182,11 @@ def year_pairs(spark, sf):
     return v.rounded(C.year_pairs(v.doc_years(spark, sf), v.codes(spark, sf)), "correlation")
 
 
-def code_score_sql(exponents, back="true"):
+def code_score_sql(exponents, back="true", codes=v.CODES):
     listed = str([float(p) for p in exponents])
     return (
         v.sql_with(
-            v.CODES, v.LEVELS, v.CODE_YEARS, SLIDING,
+            codes, v.LEVELS, v.CODE_YEARS, SLIDING,
             f'focal AS (SELECT "window", (start + "end") // 2 AS f, "end" FROM windows)',
             # distinct codes stand for all documents that hold them, per year
             "coded AS (SELECT l.*, y.year FROM levels l JOIN years y USING (pat))",
@@ -211,8 +211,8 @@ def code_score_sql(exponents, back="true"):
     )
 
 
-def code_scores(spark, sf, exponents, **options):
-    vectors = C.code_vectors(v.codes(spark, sf), v.code_years(spark, sf))
+def code_scores(spark, sf, exponents, codes=v.codes, **options):
+    vectors = C.code_vectors(codes(spark, sf), v.code_years(spark, sf))
     scores = C.code_novelty_impact(vectors, v.SLIDING.frame(spark), exponents, **options)
     return v.rounded(scores, "back_similarity", "novelty", "impact")
 
@@ -233,3 +233,49 @@ def code_novelty_impact_powers(spark, sf):
 def code_focal_join(spark, sf):
     """C-11 in blocks: an exponent without a counting form, back range of five years."""
     return code_scores(spark, sf, [1.5], back_years=5)
+
+
+# --- lists of 0 to 30 codes ----------------------------------------------------------------------
+
+
+@query("code_novelty_impact_wide", code_score_sql([1, 2, 3], codes=v.WIDE_CODES))
+def code_novelty_impact_wide(spark, sf):
+    """G-6 from counts of prefix sets; documents without codes have no row."""
+    return code_scores(spark, sf, [1, 2, 3], v.wide_codes)
+
+
+@query("code_focal_join_wide", code_score_sql([1.5], "o.year >= w.f - 5", v.WIDE_CODES))
+def code_focal_join_wide(spark, sf):
+    """C-11 in blocks that are bounded in code rows."""
+    return code_scores(spark, sf, [1.5], v.wide_codes, back_years=5)
+
+
+@query(
+    "code_similarity_wide",
+    v.sql_with(
+        v.WIDE_CODES, v.LEVELS,
+        "pairs AS (SELECT 0 AS g, doc_id AS i, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS j FROM documents)",
+        SIMILAR,
+    )
+    + "SELECT i, j, round(CASE WHEN i = j THEN 1.0 ELSE correlation END, 9) AS correlation FROM pairs LEFT JOIN similar_pairs USING (g, i, j)",
+)
+def code_similarity_wide(spark, sf):
+    """G-5; NULL if one of two documents has no codes."""
+    rows = v.table(spark, sf, "documents")
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    pairs = rows.select(F.col("doc_id").alias("i"), ((F.col("doc_id") * 7 + 3) % n).alias("j"))
+    return v.rounded(C.pair_code_similarity(pairs, v.wide_codes(spark, sf)), "correlation")
+
+
+@query(
+    "window_pairs_wide",
+    v.sql_with(
+        v.DOCS, v.WIDE_CODES, v.LEVELS, SLIDING, M, "placed AS (SELECT * FROM members WHERE patent IN (SELECT pat FROM codes))",
+        sampled('"window"', 10, SEED), SIMILAR,
+    )
+    + 'SELECT g AS "window", i, j, round(correlation, 9) AS correlation FROM similar_pairs',
+)
+def window_pairs_wide(spark, sf):
+    """P-2b; documents without codes are in no pair."""
+    pairs = C.window_pairs(v.members(v.doc_years(spark, sf), v.SLIDING), v.wide_codes(spark, sf), 10)
+    return v.rounded(pairs, "correlation")

@@ -65,16 +65,31 @@ def vector_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patent"), year("vec_id"))
 
 
-def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coded(rows: DataFrame) -> DataFrame:
+    """Code rows of rows (pat, progr)."""
     m = "(pat * (1 + 2 * progr) + progr)"
     code = (
         f"concat(chr(cast(65 + {m} % 8 as int)), {m} % 2, ({m} div 2) % 3, "
         f"chr(cast(65 + ({m} div 6) % 4 as int)), 1 + ({m} div 24) % 5, '/', ({m} div 120) % 4)"
     )
+    return rows.select("pat", "progr", F.expr(code).alias("CPC"))
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pat"), F.explode(F.array(F.lit(0), F.lit(1))).alias("progr")
     )
-    return rows.select("pat", "progr", F.expr(code).alias("CPC"))
+    return coded(rows)
+
+
+def wide_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of no, one to three, eight and thirty codes."""
+    many = (
+        F.when(F.col("doc_id") % 100 == 50, 30).when(F.col("doc_id") % 10 == 0, 0)
+        .when(F.col("doc_id") % 20 == 7, 8).otherwise((1 + F.col("doc_id") % 3).cast("int"))
+    )
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pat"), many.alias("_n")).where("_n > 0")
+    return coded(rows.select("pat", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("progr")))
 
 
 def code_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,11 +159,15 @@ UNITS = (
     "units AS (SELECT model, patent, year, list_transform(embedding, lambda x: "
     "x / sqrt(list_dot_product(embedding, embedding))) AS u FROM vectors)"
 )
-CODES = (
+CODED = (
     "codes AS (SELECT pat, CAST(progr AS INTEGER) AS progr, concat(chr(CAST(65 + m % 8 AS INTEGER)), m % 2, "
     "(m // 2) % 3, chr(CAST(65 + (m // 6) % 4 AS INTEGER)), 1 + (m // 24) % 5, '/', (m // 120) % 4) AS CPC "
     "FROM (SELECT doc_id AS pat, progr, doc_id * (1 + 2 * progr) + progr AS m "
-    "FROM documents, (VALUES (0), (1)) t(progr)))"
+)
+CODES = CODED + "FROM documents, (VALUES (0), (1)) t(progr)))"
+WIDE_CODES = (
+    CODED + "FROM documents, range(30) t(progr) WHERE progr < CASE WHEN doc_id % 100 = 50 THEN 30 WHEN doc_id % 10 = 0 THEN 0 "
+    "WHEN doc_id % 20 = 7 THEN 8 ELSE 1 + doc_id % 3 END))"
 )
 CODE_YEARS = "years AS (SELECT doc_id AS pat, CAST(1900 + doc_id % 25 AS INTEGER) AS year FROM documents)"
 # present years, focal year and reach of each window
