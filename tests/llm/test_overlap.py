@@ -76,11 +76,16 @@ def test_near_join_is_brute_force(spark, block):
 
 def test_one_of_each_class_stays(spark):
     rows = corpus(2)
-    want = classes(rows)
+    # each distinct text of a repeated id is a document of its own; numbered by id, the lowest of a class is one of the lowest id
+    docs = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    want = {n: v[0] for n, v in classes([(n, t) for n, (_, t) in enumerate(docs)]).items()}
     kept = near_join.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "class_id", "item_id", "band"]
-    ids = [r.doc_id for r in kept.collect()]
-    assert set(ids) == {None, *(i for i, v in want.items() if v[0] == i)}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    named = [r for r in got if r[0] is not None]
+    assert [r for r in got if r[0] is None] == [r for r in rows if r[0] is None]
+    assert sorted(i for i, _ in named) == sorted(docs[n][0] for n, c in want.items() if n == c)
+    assert sorted(want[docs.index(r)] for r in named) == sorted(set(want.values()))
 
 
 def test_near_join_of_nothing(spark):
