@@ -161,6 +161,7 @@ def year_pairs(docs: DataFrame, codes: DataFrame, k: int = 10, seed: int = 12345
 
 # --- novelty and impact from codes ---------------------------------------------------------------
 
+STRIPE = 32  # lists that a block of focal lists meets at a time
 CODE_ROWS = 4  # code rows of a block for each document that its size in documents stands for
 
 
@@ -193,18 +194,22 @@ def code_novelty_impact(
     up one gain per prefix the document shares with it, so for a whole exponent p the power mean is
     a sum over sets of at most p prefixes, weighted by how many documents hold the whole set.
     Those counts grow with the documents; no pair of documents is formed. Other exponents compare
-    bounded blocks of documents.
+    bounded blocks of code lists. Documents of a year with the same codes are one list, with their number.
     """
     exponents = as_exponents(exponents)
     frame = code_frames(windows, back_years)
     counted = [p for p in exponents if p in (1.0, 2.0, 3.0) and method != "blocks"]
     paired = [p for p in exponents if p not in counted]
+    lists, held = equal_lists(vectors)
+    sizes = frame_sizes(lists, frame)
     parts = []
     if counted:
-        parts.append(prefix_similarities(vectors, frame, counted))
+        rows_of = lists.select(F.col("list").alias("pat"), "year", "n", F.explode("codes").alias("levels"))
+        parts.append(prefix_similarities(rows_of, frame, counted, sizes))
     if paired:
-        parts.append(block_similarities(vectors, frame, paired, rows))
-    out = reduce(DataFrame.unionByName, parts)
+        parts.append(block_similarities(lists, frame, paired, rows, sizes))
+    out = reduce(DataFrame.unionByName, parts).withColumnRenamed("patent", "list")
+    out = skew_join(held, out, ["list"], counts=lists.select("list", "n"))
     return out.select(
         "window", "exponent", "focal_year", "patent",
         F.col("back").alias("back_similarity"),
@@ -213,11 +218,20 @@ def code_novelty_impact(
     )
 
 
-def year_counts(vectors: DataFrame) -> Column:
+def equal_lists(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(list, year, codes, n)``: the distinct code lists of each year in any order of their codes, and ``(list, patent)``."""
+    docs = vectors.groupBy("pat", "year").agg(F.array_sort(F.collect_list("levels")).alias("codes"))
+    docs = cut_lineage(docs.withColumnRenamed("pat", "patent"))  # read for the lists and for their documents
+    lists = docs.groupBy("year", "codes").agg(F.count(F.lit(1)).alias("n"))
+    lists = cut_lineage(lists.withColumn("list", F.monotonically_increasing_id()))
+    named = lists.select("year", "codes", "list")
+    held = skew_join(docs, named, ["year", "codes"], counts=lists.select("year", "codes", "n")).select("list", "patent")
+    return lists, held
+
+
+def year_counts(lists: DataFrame) -> Column:
     """Documents with codes per year, as one array of (year, n): a scalar as long as the calendar."""
-    per_year = (
-        vectors.select("pat", "year").distinct().groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_year = lists.groupBy("year").agg(F.sum("n").alias("n"))
     return per_year.agg(F.collect_list(F.struct("year", "n"))).scalar()
 
 
@@ -229,14 +243,14 @@ def is_forward(year: Column) -> Column:
     return (year > F.col("focal_year")) & (year <= F.col("end"))
 
 
-def frame_sizes(vectors: DataFrame, frame: DataFrame) -> DataFrame:
+def frame_sizes(lists: DataFrame, frame: DataFrame) -> DataFrame:
     """Documents with codes in the back and forward range of each window (NULL for none)."""
     total = lambda test: F.aggregate(
         F.filter("_years", lambda e: test(e["year"])),
         F.lit(0).cast("long"),
         lambda acc, e: acc + e["n"],
     )
-    return frame.withColumn("_years", year_counts(vectors)).select(
+    return frame.withColumn("_years", year_counts(lists)).select(
         "window",
         F.nullif(total(is_back), F.lit(0)).alias("nb"),
         F.nullif(total(is_forward), F.lit(0)).alias("nf"),
@@ -251,17 +265,18 @@ def add_prefix(key: Column, p: Column) -> Column:
 
 
 def weighted_prefixes(vectors: DataFrame) -> DataFrame:
-    """``(pat, year, held)``: each document's prefixes, weighted by its mean gain per code row."""
+    """``(pat, year, n, held)``: each document's prefixes, weighted by its mean gain per code row; n is 1 unless a list stands for more."""
     gains = F.array(*[F.lit(g) for g in level_gains()])
     level = F.posexplode(prefixes(F.col("levels"))).alias("level", "prefix")
-    weights = vectors.select("pat", "year", level).groupBy("pat", "year", "prefix").agg(
+    n = F.col("n") if "n" in vectors.columns else F.lit(1).cast("long").alias("n")
+    weights = vectors.select("pat", "year", n, level).groupBy("pat", "year", "n", "prefix").agg(
         F.sum(F.get(gains, F.col("level"))).alias("w"), F.count_if(F.col("level") == 0).alias("rows")
     )
-    docs = weights.groupBy("pat", "year").agg(
+    docs = weights.groupBy("pat", "year", "n").agg(
         F.sort_array(F.collect_list(F.struct("prefix", "w"))).alias("held"), F.sum("rows").alias("m")
     )
     mean = lambda e: F.struct(e["prefix"].alias("prefix"), (e["w"] / F.col("m")).alias("w"))
-    return docs.select("pat", "year", F.transform("held", mean).alias("held"))
+    return docs.select("pat", "year", "n", F.transform("held", mean).alias("held"))
 
 
 def related(x: Column, y: Column) -> Column:
@@ -275,26 +290,26 @@ def count_prefix_sets(docs: DataFrame, order: int) -> list[DataFrame]:
     Grown like frequent sets: a set is only built from two sets that differ in their last member and are both held in more
     than one year. Others cannot be in a focal document and in its back or forward range, and neither can what contains them.
     """
-    rows = docs.select("pat", "year", F.lit("").alias("stem"), F.explode("held.prefix").alias("last"))
+    rows = docs.select("pat", "year", "n", F.lit("").alias("stem"), F.explode("held.prefix").alias("last"))
     tables = []
     for size in range(1, order + 1):
-        rows = rows.select("pat", "year", "stem", "last", F.concat("stem", "last").alias("key"))
-        counts = rows.groupBy("key", "year").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.select("pat", "year", "n", "stem", "last", F.concat("stem", "last").alias("key"))
+        counts = rows.groupBy("key", "year").agg(F.sum("n").alias("n"))
         counts = counts.groupBy("key").agg(F.collect_list(F.struct("year", "n")).alias("years")).where(F.size("years") > 1)
         if order > 1:
             counts = cut_lineage(counts)  # read for the growth of both sides and for the totals
         tables.append(counts)
         if size < order:
             alive = rows.join(counts.select("key"), "key", "left_semi")
-            alive = alive.groupBy("pat", "year", "stem").agg(F.sort_array(F.collect_list("last")).alias("all"))
-            alive = alive.select("pat", "year", "stem", "all", F.posexplode("all").alias("at", "e"))
+            alive = alive.groupBy("pat", "year", "n", "stem").agg(F.sort_array(F.collect_list("last")).alias("all"))
+            alive = alive.select("pat", "year", "n", "stem", "all", F.posexplode("all").alias("at", "e"))
             further = F.slice("all", F.col("at") + 2, F.size("all"))
-            rows = alive.select("pat", "year", "stem", "e", F.explode(further).alias("last")).where(~related(F.col("e"), F.col("last")))
-            rows = rows.select("pat", "year", F.concat("stem", "e", F.lit(";")).alias("stem"), "last")
+            rows = alive.select("pat", "year", "n", "stem", "e", F.explode(further).alias("last")).where(~related(F.col("e"), F.col("last")))
+            rows = rows.select("pat", "year", "n", F.concat("stem", "e", F.lit(";")).alias("stem"), "last")
     return tables
 
 
-def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[float]) -> DataFrame:
+def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[float], sizes: DataFrame) -> DataFrame:
     docs = weighted_prefixes(vectors)
     order = int(max(exponents))
     if order > 1:
@@ -364,66 +379,118 @@ def prefix_similarities(vectors: DataFrame, frame: DataFrame, exponents: list[fl
         add("cb").alias("sb"), add("cf").alias("sf")
     )
     p = F.col("exponent")
-    return sums.join(frame_sizes(vectors, frame), "window", "left").select(
+    return sums.join(sizes, "window", "left").select(
         "window", "exponent", "focal_year", "patent",
         power_mean(F.col("sb"), F.col("nb"), p).alias("back"),
         power_mean(F.col("sf"), F.col("nf"), p).alias("forward"),
     )
 
 
+def block_sums(focal: tuple, other: tuple, exponents: list[float]) -> np.ndarray:
+    """Sums over ``other`` of the similarity to each list of ``focal``, raised to each exponent: one column per exponent.
+
+    ``focal`` is (lens, levels), ``other`` (lens, levels, n). Codes are compared once for each distinct code of either side;
+    a list then takes the best rows of its codes, so a pair of lists costs an addition for each focal code and a power.
+    """
+    lens_f, codes_f, (of_f, starts_f, first_f) = *focal[:2], by_length(focal[0])
+    lens_r, codes_r, (of_r, starts_r, first_r) = *other[:2], by_length(other[0])
+    depth, in_a, in_b = shared_levels(codes_f, codes_r)
+    best = depth[in_b[starts_r]]
+    for k, n in enumerate(first_r[1:], 1):
+        np.maximum(best[:n], depth[in_b[starts_r[:n] + k]], out=best[:n])
+    table = np.array([level_similarity(k) for k in range(LEVELS + 1)])
+    weights, n_codes = other[2][of_r].astype(float), lens_f[of_f][:, None]
+    out = np.zeros((len(lens_f), len(exponents)))
+    for at in range(0, len(best), STRIPE):  # few columns at a time stay in the processor's cache
+        similar = table[np.ascontiguousarray(best[at : at + STRIPE].T)]
+        total = similar[in_a[starts_f]]
+        for k, n in enumerate(first_f[1:], 1):
+            total[:n] += similar[in_a[starts_f[:n] + k]]
+        total /= n_codes
+        for k, p in enumerate(exponents):
+            whole = p // 1
+            # a root and a product are several times as fast as a power
+            powers = total**whole * np.sqrt(total) if p == whole + 0.5 else total**p
+            out[of_f, k] += powers @ weights[at : at + STRIPE]
+    return out
+
+
+def shared_levels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many levels each distinct code of ``b`` shares with each one of ``a``, and the places of all codes therein.
+
+    Codes are sorted, so those with a common prefix are neighbours: each prefix that both sides have fills one rectangle.
+    """
+    both = np.concatenate([a, b])
+    order = np.lexsort(both.T[::-1])
+    sorted_codes = both[order]
+    changes = np.logical_or.accumulate(sorted_codes[1:] != sorted_codes[:-1], axis=1)
+    groups = np.concatenate([np.zeros((1, LEVELS), dtype=np.int64), np.cumsum(changes, axis=0)])
+    code = np.empty(len(both), dtype=np.int64)
+    code[order] = groups[:, -1]
+    prefix = groups[np.unique(groups[:, -1], return_index=True)[1]]
+    own_a, in_a = np.unique(code[: len(a)], return_inverse=True)
+    own_b, in_b = np.unique(code[len(a) :], return_inverse=True)
+    depth = np.zeros((len(own_b), len(own_a)), dtype=np.int8)
+    for level in range(LEVELS):
+        in_both = [np.unique(prefix[own, level], return_index=True, return_counts=True) for own in (own_a, own_b)]
+        (ids_a, first_a, n_a), (ids_b, first_b, n_b) = in_both
+        _, at_a, at_b = np.intersect1d(ids_a, ids_b, assume_unique=True, return_indices=True)
+        for i, j in zip(at_a, at_b):
+            depth[first_b[j] : first_b[j] + n_b[j], first_a[i] : first_a[i] + n_a[i]] = level + 1
+    return depth, in_a, in_b
+
+
+def by_length(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Lists from the longest to the shortest, where each starts, and how many have more than 0, 1, 2, ... codes."""
+    order = np.argsort(-lens, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)[order]
+    return order, starts, [int((lens > k).sum()) for k in range(int(lens.max()))]
+
+
 def block_similarities(
-    vectors: DataFrame, frame: DataFrame, exponents: list[float], rows: int
+    lists: DataFrame, frame: DataFrame, exponents: list[float], rows: int, sizes: DataFrame
 ) -> DataFrame:
     """Any exponent: focal blocks against back and forward blocks, summed inside the task."""
-    docs = vectors.groupBy("pat", "year").agg(F.flatten(F.collect_list("levels")).alias("levels"))
-    docs = docs.withColumnRenamed("pat", "patent")
+    docs = lists.select(F.col("list").alias("patent"), "year", "n", F.flatten("codes").alias("levels"))
     # blocks are bounded in code rows, however long the lists are
     code_rows = F.size("levels") / LEVELS
     packed = with_block(docs, ["year"], CODE_ROWS * rows, size=code_rows).groupBy("year", "block").agg(
-        F.collect_list(F.struct("patent", "levels")).alias("r")
+        F.collect_list(F.struct("patent", "n", "levels")).alias("r")
     )
-    packed = packed.select(
-        "year", "block", F.col("r.patent").alias("ids"),
+    packed = cut_lineage(packed.select(
+        "year", "block", F.col("r.patent").alias("ids"), F.col("r.n").alias("n"),
         F.transform("r.levels", lambda x: (F.size(x) / LEVELS).cast("int")).alias("lens"),
         F.flatten("r.levels").alias("flat"),
-    )
+    ))  # read for the names of blocks and for both sides of the pairs
     names = packed.select("year", "block")
     focal = names.join(frame, F.col("year") == F.col("focal_year")).select(
         "window", "focal_year", F.col("block").alias("f_block")
     )
     other = names.select(F.col("year").alias("r_year"), F.col("block").alias("r_block"))
     in_range = F.filter("_years", lambda e: is_back(e["year"]) | is_forward(e["year"]))
-    reach = frame.withColumn("_years", year_counts(vectors)).select("window", F.explode(in_range).alias("e"))
+    reach = frame.withColumn("_years", year_counts(lists)).select("window", F.explode(in_range).alias("e"))
     reach = reach.select("window", F.col("e.year").alias("r_year"))
-    cells = focal.join(reach, "window").join(other, "r_year")
+    cells = fan_out(focal.join(reach, "window").join(other, "r_year"), "window", "f_block", "r_year", "r_block")
     side = lambda p: packed.select(
         F.col("year").alias(f"{p}_year"), F.col("block").alias(f"{p}_block"),
-        *[F.col(c).alias(f"{p}_{c}") for c in ("ids", "lens", "flat")],
+        *[F.col(c).alias(f"{p}_{c}") for c in ("ids", "n", "lens", "flat")],
     )
     cells = cells.withColumn("f_year", F.col("focal_year"))
     cells = cells.join(side("f"), ["f_year", "f_block"]).join(side("r"), ["r_year", "r_block"])
     cells = cells.select(
         "window", "focal_year", (F.col("r_year") < F.col("focal_year")).alias("is_back"),
-        "f_ids", "f_lens", "f_flat", "r_lens", "r_flat",
+        "f_ids", "f_lens", "f_flat", "r_lens", "r_flat", "r_n",
     )
-    table = np.array([level_similarity(k) for k in range(LEVELS + 1)])
     powers = [f"s{k}" for k in range(len(exponents))]
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for window, year, back, ids, flens, fflat, rlens, rflat in batch.itertuples(index=False, name=None):
-                a, b = np.reshape(fflat, (-1, LEVELS)), np.reshape(rflat, (-1, LEVELS))
-                agree = np.ones((len(a), len(b)), dtype=bool)
-                depth = np.zeros((len(a), len(b)), dtype=np.int8)
-                for level in range(LEVELS):
-                    agree &= a[:, level][:, None] == b[:, level][None, :]
-                    depth += agree
-                starts = lambda lens: np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(int)
-                best = table[np.maximum.reduceat(depth, starts(rlens), axis=1)]
-                mean = np.add.reduceat(best, starts(flens), axis=0) / np.asarray(flens)[:, None]
-                out = pd.DataFrame(
-                    np.stack([(mean**p).sum(axis=1) for p in exponents], axis=1), columns=powers
+            for window, year, back, ids, flens, fflat, rlens, rflat, n in batch.itertuples(index=False, name=None):
+                sums = block_sums(
+                    (np.asarray(flens), np.reshape(fflat, (-1, LEVELS))),
+                    (np.asarray(rlens), np.reshape(rflat, (-1, LEVELS)), np.asarray(n)), exponents,
                 )
+                out = pd.DataFrame(sums, columns=powers)
                 out.insert(0, "patent", ids)
                 yield out.assign(window=window, focal_year=year, is_back=back)
 
@@ -447,7 +514,7 @@ def block_similarities(
     mean = lambda s, n: power_mean(
         F.coalesce(F.col(s), F.when(F.col(n) > 0, F.lit(0.0))), F.col(n), p
     )
-    return sums.join(frame_sizes(vectors, frame), "window", "left").select(
+    return sums.join(sizes, "window", "left").select(
         "window", "exponent", "focal_year", "patent",
         mean("sb", "nb").alias("back"), mean("sf", "nf").alias("forward"),
     )
