@@ -214,3 +214,26 @@ def test_vectors_of_pairs_are_made_once(spark):
     got = G.pair_similarity_sparse(pairs, rows)
     assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["i"], r["j"]): r["similarity"] for r in got.collect()} == {(1, 2): 2.0, (2, 3): 6.0, (3, 9): 0.0}
+
+
+def test_documents_meet_the_weights_of_their_block(spark, corpus, monkeypatch):
+    """One row per document, the same in one block and in blocks of a few terms, with overlapping windows and samples too."""
+    windows = WindowSpec(1900, 1904, 2, 1).frame(spark)
+    docs = corpus.docs.unionByName(corpus.docs.limit(1).withColumn("year", F.lit(1901)))  # an id in two years
+    members = spark.createDataFrame([("1900-1901", 0, 1900), ("1900-1901", 1, 1901)], "window string, patent long, year int")
+    models = {"a": E.Tfidf(stop_words=None, min_df=1, ngram_max=2), "b": E.Tfidf(stop_words=None, min_df=1, norm="l2")}
+
+    def found():
+        of = [E.Corpus.of(docs, windows), E.Corpus.of(corpus.docs, windows, members)]
+        rows = [E.tfidf_rows(c, models) for c in of] + [E.WeightedCounts("sigmoid").rows(c, "c") for c in of]
+        return [sorted((r["model"], r["window"], r["patent"], r["year"], sorted(r["v"])) for r in x.collect()) for x in rows]
+
+    one = found()
+    monkeypatch.setattr(E, "BLOCK", 4)
+    monkeypatch.setattr(E, "SMALLEST", 2)
+    assert found() == one and all(one)
+    lengths = {}
+    for model, window, patent, _, v in one[0]:
+        key = model, window, patent
+        lengths[key] = lengths.get(key, 0) + sum(w * w if model == "b" else w for _, w in v)
+    assert list(lengths.values()) == pytest.approx([1.0] * len(lengths))
