@@ -214,3 +214,16 @@ def test_equal_documents_tie_exactly(spark):
     units = unit_rows(long, ["model", "window", "patent"], "l2")
     pairs = spark.createDataFrame([("w", 1, 2, 0.1), ("w", 1, 3, 0.2), ("w", 2, 3, 0.3)], "window string, i long, j long, correlation double")
     assert len({r["similarity"] for r in pair_similarity_sparse(pairs, units).collect()}) == 1
+
+
+def test_lag_blocks_hold_as_many_numbers_at_any_dimension(spark, monkeypatch):
+    """Few long blocks, or many short ones, give the same sums."""
+    from tidemark.operators import scores as S
+
+    rows = [("m", "1900-1901", i, 1900 + i % 2, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "model string, window string, patent long, year int, embedding array<double>")
+    members = vectors.select("window", "patent", "year")
+    found = lambda: {r["delta"]: r["autocorrelation"] for r in S.autocorrelation(vectors.drop("year"), members).collect()}
+    long = found()
+    monkeypatch.setattr(S, "LAG_BLOCK", 12)  # four vectors
+    assert found() == pytest.approx(long) and len(long) > 5
