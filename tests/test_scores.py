@@ -84,6 +84,28 @@ def test_sparse_equals_dense(spark, vectors):
     assert all(r["autocorrelation"] == pytest.approx(a[r["window"], r["delta"]], abs=1e-12) for r in b)
 
 
+def test_sparse_terms_of_one_document_add_up(spark):
+    """Full, common, rare and repeated terms, in one block and in many, against all pairs."""
+    rng = np.random.default_rng(3)
+    share = np.repeat([0.9, 0.4, 0.02], [3, 12, 60])
+    dense = {k: rng.normal(size=75) * (rng.random(75) < share) for k in range(180)}
+    dense[7][:] = 0.0
+    docs = spark.createDataFrame([("w", k, 1900 + k % 3) for k in dense], "window string, patent long, year int")
+    terms = [("m", "w", k, str(t), float(x)) for k, v in dense.items() for t, x in enumerate(v) if x]
+    halves = [(*r[:4], r[4] / 2) for r in terms for _ in "ab"]  # a document's terms may come in several rows
+    unit = np.stack([v / (np.sqrt((v * v).sum() / 2) or 1.0) for v in dense.values()])  # its length is taken over all of them
+    similar = np.maximum((1 + unit @ unit.T) / 2, 0.0)
+    for rows in (None, 11):
+        long = spark.createDataFrame(halves, "model string, window string, patent long, term string, w double")
+        got = S.novelty_impact_sparse(long, docs, [2.0, 2.5], rows=rows).collect()
+        assert len(got) == 2 * 60
+        for r in got:
+            k, p = r["patent"], r["exponent"]
+            back, forward = (np.mean(similar[k, side::3] ** p) ** (1 / p) for side in (0, 2))
+            assert r["novelty"] == pytest.approx(1 - back, abs=1e-12)
+            assert r["impact"] == pytest.approx(forward / (back + 1e-12), abs=1e-9)
+
+
 def test_cached_scores_are_not_recomputed(spark):
     schema = "model string, window string, exponent double, focal_year int, patent long, novelty double, impact double"
     stored = spark.createDataFrame([("m", "a", 1.0, 1, 1, 0.1, 1.0), ("m", "b", 1.0, 1, 2, 0.1, 1.0)], schema)
