@@ -1,6 +1,7 @@
 """Scores against brute force, and the distributed ranks behind them."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,19 @@ def test_lag_blocks_hold_as_many_numbers_at_any_dimension(spark, monkeypatch):
     long = found()
     monkeypatch.setattr(S, "LAG_BLOCK", 12)  # four vectors
     assert found() == pytest.approx(long) and len(long) > 5
+
+
+def test_sums_of_blocks_leave_one_at_a_time(spark, monkeypatch):
+    """A batch of blocks is never held together with the sums of all of them."""
+    kernels = []
+
+    class Rows:
+        def mapInPandas(self, kernel, schema):
+            kernels.append(kernel)
+
+    monkeypatch.setattr(B, "sum_chunks", lambda df, keys, make=None: make(Rows()) if make else None)
+    rows = spark.createDataFrame([(1900, 0, [1], [1.0, 2.0])], "year int, block long, ids array<long>, flat array<double>")
+    B.slab_moments(rows, ["year"], [(0, 2)], 3)
+    batch = pd.DataFrame({"year": [1900] * 5, "slab": 0, "salt": 0, "n": 1, "flat": [np.array([1.0, 2.0])] * 5})
+    out = list(kernels[0](iter([batch])))
+    assert [len(f) for f in out] == [1] * 5 and all(list(f["vals"][0]) == list(out[0]["vals"][0]) for f in out)
