@@ -55,6 +55,20 @@ def test_same_and_unknown_documents(spark, codes):
         C.require_known(C.pair_code_similarity(pairs, codes)).collect()
 
 
+def test_pairs_are_dealt_once_before_their_lists_join(spark, codes):
+    """The pairs are dealt by i for the first list and by j for the second, and no third time."""
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "i long, j long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.pair_code_similarity(pairs, codes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(i#" in x or "Exchange hashpartitioning(j#" in x]
+    by_i = [x for x in dealt if "hashpartitioning(i#" in x and ", j#" not in x]
+    assert not any("(i#" in x and ", j#" in x for x in dealt) and len(by_i) <= 2
+
+
 @pytest.mark.parametrize("k, n", [(2, 12), (3, 18), (4, 24), (5, 15), (10, 15)])
 def test_pair_counts(spark, codes, k, n):
     ids = codes.select(F.col("pat").alias("patent"), F.lit("g").alias("g")).distinct()

@@ -86,7 +86,8 @@ def pair_code_similarity(pairs: DataFrame, codes: DataFrame, base: float = BASE)
     value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
         list_similarity(F.col("_a"), F.col("_b"), base)
     )
-    joined = fan_out(pairs, "i", "j").join(left, "i", "left").join(right, "j", "left")
+    # dealt by i, so the first lists join where the pairs are
+    joined = fan_out(pairs, "i").join(left, "i", "left").join(right, "j", "left")
     return joined.withColumn("correlation", value).drop("_a", "_b").select(
         *pairs.columns, "correlation"
     )
@@ -134,10 +135,10 @@ def sample_pairs(
     )
     rows = rows.where(~all_pairs | (F.col("m") + 1 <= F.col("n") - 1))
     rows = rows.withColumn("_to", F.pmod(F.col("pos") + offset, F.col("n")))
-    left = rows.select(*group, F.col("patent").alias("i"), "pos", F.col("_to").alias("to"), all_pairs.alias("_all"))
+    # which pairs of a small group count is known before they travel
+    left = rows.where(~all_pairs | (F.col("pos") < F.col("_to"))).select(*group, F.col("patent").alias("i"), F.col("_to").alias("to"))
     right = placed.select(*group, F.col("patent").alias("j"), F.col("pos").alias("to"))
-    pairs = left.join(right, [*group, "to"])
-    return pairs.where(~F.col("_all") | (F.col("pos") < F.col("to"))).select(*group, "i", "j")
+    return left.join(right, [*group, "to"]).select(*group, "i", "j")
 
 
 def window_pairs(
