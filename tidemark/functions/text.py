@@ -10,6 +10,11 @@ from pyspark.sql import Column, functions as F
 # "white space" and "upper case" in the cleaning rules.
 WORD = r"[\p{L}\p{N}_]"
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same characters for Java, which finds single ones below U+0100 in one table: all others pass a single range.
+SPACE = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
 UPPER = r"\p{IsUppercase}"
 SINGLE_LETTER_WORDS = ("a", "i")
 
@@ -29,7 +34,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """White-space tokens, without empty strings."""
-    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def remove_unprintable(text: Column) -> Column:

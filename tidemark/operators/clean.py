@@ -138,23 +138,24 @@ def split_candidates(docs: DataFrame) -> DataFrame:
         .select("patent", F.col("pos").alias("at"), "col.tok", "col.next")
         .where("next IS NOT NULL")
     )
-    return pairs.withColumn("joined", F.concat("tok", "next")).where(
-        F.col("tok").rlike(r"^\p{L}+$") & (F.length("joined") >= MIN_JOINED)
-    )
+    long = F.length("tok") + F.length("next") >= MIN_JOINED
+    return pairs.where(long).withColumn("joined", F.concat("tok", "next"))
 
 
 def lexicon_lookup(candidates: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """C-13: candidates whose joined form is a word while the parts, by the rule, are not.
+    """C-13: candidates of a first part in letters whose joined form is a word while the parts, by the rule, are not.
 
     The joined form is looked up first: few neighbours form a word, so the two lookups of the parts,
-    whose keys are as uneven as language is, see little data.
+    whose keys are as uneven as language is, see little data. The pattern is tested on what all three leave: as one
+    expression with the last lookup it is not moved ahead of them.
     """
     words = lexicon.select("word").distinct()
     hits = candidates.join(words.withColumnRenamed("word", "joined"), "joined", "left_semi")
     hits = hits.join(words.withColumnRenamed("word", "tok"), "tok", "left_anti")
     known = words.select(F.col("word").alias("next"), F.lit(True).alias("_known"))
     odd_letter = (F.length("next") == 1) & ~F.col("next").isin(*T.SINGLE_LETTER_WORDS)
-    return hits.join(known, "next", "left").where(F.col("_known").isNull() | odd_letter).drop("_known")
+    split = F.when(F.col("_known").isNull() | odd_letter, F.col("tok").rlike(r"^\p{L}+$"))
+    return hits.join(known, "next", "left").where(split).drop("_known")
 
 
 def merges(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -191,7 +192,8 @@ def reassemble_words(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             i < F.size("_at"), F.array(F.concat(F.get("_t", end), F.get("_t", end + 1)))
         ).otherwise(F.array().cast("array<string>")),
     )
-    text = F.array_join(F.flatten(F.transform(ends, piece)), " ")
+    whole = F.array_join("_t", " ")  # of a text without merges
+    text = F.when(F.size("_at") == 0, whole).otherwise(F.array_join(F.flatten(F.transform(ends, piece)), " "))
     step = step.withColumn("_text", text).withColumn("words_reassembled", F.size("_at"))
     return step.withColumn("contents", F.col("_text")).drop("_at", "_t", "_text").select(
         *docs.columns, "words_reassembled"
