@@ -105,7 +105,7 @@ def require_known(pairs: DataFrame) -> DataFrame:
 
 
 def sample_pairs(
-    docs: DataFrame, group: list[str], k: int, seed: Column | int = 0, min_docs: int | None = None
+    docs: DataFrame, group: list[str], k: int, seed: Column | int = 0, min_docs: int | None = None, cells: bool = False
 ) -> DataFrame:
     """P-2, C-9: ``k`` distinct partners of every document of a group, as pairs ``(i, j)``.
 
@@ -113,6 +113,9 @@ def sample_pairs(
     hashed start, so a document never meets itself or a partner twice, and the job is an equi-join
     of n*k rows. A group of at most k+1 documents gives all its pairs i < j instead.
     ``min_docs`` makes a smaller group an error. ``docs`` lists a document once per group.
+
+    ``cells`` adds a number ``cell``: partners sit at nearly the same place modulo the distance of the offsets, so almost all
+    pairs of a document share a cell, and a cell has about CELL documents on either side.
     """
     # ids and positions only; read for the group sizes and for both sides of the pairs
     placed = cut_lineage(with_position(docs.select(*group, "patent"), group, "patent"))
@@ -135,28 +138,33 @@ def sample_pairs(
     )
     rows = rows.where(~all_pairs | (F.col("m") + 1 <= F.col("n") - 1))
     rows = rows.withColumn("_to", F.pmod(F.col("pos") + offset, F.col("n")))
+    cell = F.xxhash64(*group, F.floor(F.pmod(F.col("_to"), step) / max(CELL // k, 1)))
     # which pairs of a small group count is known before they travel
-    left = rows.where(~all_pairs | (F.col("pos") < F.col("_to"))).select(*group, F.col("patent").alias("i"), F.col("_to").alias("to"))
+    more = [cell.alias("cell")] if cells else []
+    left = rows.where(~all_pairs | (F.col("pos") < F.col("_to"))).select(*group, F.col("patent").alias("i"), F.col("_to").alias("to"), *more)
     right = placed.select(*group, F.col("patent").alias("j"), F.col("pos").alias("to"))
-    return left.join(right, [*group, "to"]).select(*group, "i", "j")
+    return left.join(right, [*group, "to"]).select(*group, "i", "j", *[c for c in ("cell",) if cells])
+
+
+CELL = 4096  # fixed value: documents on one side of a cell of pairs
 
 
 def window_pairs(
-    window_docs: DataFrame, codes: DataFrame, k: int = 10, base: float = BASE
+    window_docs: DataFrame, codes: DataFrame, k: int = 10, base: float = BASE, cells: bool = False
 ) -> DataFrame:
     """P-2b: sampled pairs of each window with their code similarity; seed = mean year of the window."""
     known = codes.select(F.col("pat").alias("patent")).distinct()
     docs = window_docs.join(known, "patent", "left_semi")
     ends = F.split("window", "-")
     seed = F.bround((F.get(ends, 0).cast("int") + F.get(ends, 1).cast("int")) / 2.0).cast("int")
-    pairs = sample_pairs(docs, ["window"], k, seed)
+    pairs = sample_pairs(docs, ["window"], k, seed, cells=cells)
     return pair_code_similarity(pairs, codes, base)
 
 
-def year_pairs(docs: DataFrame, codes: DataFrame, k: int = 10, seed: int = 12345) -> DataFrame:
+def year_pairs(docs: DataFrame, codes: DataFrame, k: int = 10, seed: int = 12345, cells: bool = False) -> DataFrame:
     """J-1: pairs that never cross years, with their code similarity."""
     known = codes.select(F.col("pat").alias("patent")).distinct()
-    pairs = sample_pairs(docs.join(known, "patent", "left_semi"), ["year"], k, seed)
+    pairs = sample_pairs(docs.join(known, "patent", "left_semi"), ["year"], k, seed, cells=cells)
     return pair_code_similarity(pairs, codes)
 
 

@@ -62,7 +62,7 @@ def dense_similarities(spark, sf):
 
 
 def sparse_similarities(spark, sf):
-    pairs = C.window_pairs(v.members(v.doc_years(spark, sf), v.EPOCHS), v.codes(spark, sf), 10)
+    pairs = C.window_pairs(v.members(v.doc_years(spark, sf), v.EPOCHS), v.codes(spark, sf), 10, cells=True)
     rows = G.pair_similarity_sparse(pairs, STOPPED.rows(corpus(spark, sf), "tfidf"))
     return v.rounded(rows.withColumn("similarity", F.round("similarity", 12)), "correlation")
 
@@ -177,7 +177,7 @@ def tuning_data(spark, sf):
 
 def tuning(spark, sf):
     windows = v.EPOCHS.frame(spark)
-    cleaned, pairs = SW.tuning_data(v.docs(spark, sf), v.codes(spark, sf), windows)
+    cleaned, pairs = SW.tuning_data(v.docs(spark, sf), v.codes(spark, sf), windows, cells=True)
     return cleaned, pairs, windows
 
 
